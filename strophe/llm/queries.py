@@ -9,14 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_count import count_tokens
 from .common import load
+from .near_dedup import near_duplicates
+from .packing import pack
+from .warc import archive_pages
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(load(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id <> lead THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id <> lead THEN lead END AS refers_to
+        FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lead
+              FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages))
+    """,
+}
