@@ -7,10 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .bpe_count import count_tokens
 from .common import load
+from .language_id import language_of
+from .lm_score import score_documents
+from .mixing import mix
+from .multi_index import near_vectors
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import rated
 from .warc import archive_pages
 
 
@@ -18,6 +24,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(load(spark, sf_dir, "documents"))
+
+
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(load(spark, sf_dir, "documents"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(load(spark, sf_dir, "documents"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -31,7 +62,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
+    "op4_multi_index": op4_multi_index,
+    "op5_language": op5_language,
+    "op6_lm_score": op6_lm_score,
+    "op7_nearest": op7_nearest,
     "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
