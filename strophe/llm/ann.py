@@ -74,13 +74,21 @@ def probes_needed(h: Hash, rows: np.ndarray, asked: np.ndarray, k: int, recall:
     return int(np.quantile(depth, recall, method="higher")) + 1
 
 
+def against(asked: pa.RecordBatch | pa.Table, rows: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and vectors of the asked, and their inner products with rows (ids, vectors): -inf with a query's own row."""
+    ids, y = np.asarray(asked.column("id")), matrix(asked.column("v"))
+    scores = y @ rows[1].T
+    scores[ids[:, None] == rows[0][None, :]] = -np.inf
+    return ids, y, scores
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of each query by inner product of the original vectors: query_id, rank, vec_id, score.
 
     `queries` holds rows of `vectors`, whose own row is no candidate. Every row is hashed into each table; a query
     probes the nearest axes of each, as many as a sample of SAMPLE rows and ASKED queries needs for `recall`. A bucket is
-    compared block by block (see grid.met_in_blocks), and each block gives a query's k best, less those below the k-th best
-    among the sample's rows, which can't be among its k nearest. Scores are exact; ties go to the smaller id. Vectors
+    compared block by block (see grid.met_in_blocks), and each block gives a query's k best. All queries are compared with
+    the sample's rows too: those k are candidates, and what is below the k-th of them is none. Scores are exact; ties go to the smaller id. Vectors
     that are null, zero or hold null or non-finite components take no part; rows that repeat an id count once, by their
     first vector; vectors of another length than the most common one take no part.
     """
@@ -93,10 +101,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         return spark.createDataFrame([], empty)
     known = known.where(F.size("v") == dims.d)
     asked = known.join(valid(queries, id_col, vector_col).select("id").distinct(), "id", "left_semi")
-    first = [np.array([r.v for r in part.orderBy(F.xxhash64("id"), "id").limit(n).collect()]).reshape(-1, dims.d) for part, n in ((known, SAMPLE), (asked, ASKED))]
-    h = Hash.make(dims.d)
-    probes = probes_needed(h, *first, k, recall)
-    sent = spark.sparkContext.broadcast((h, first[0], probes, max(1, k)))
+    some, few = (part.orderBy(F.xxhash64("id"), "id").limit(n).collect() for part, n in ((known, SAMPLE), (asked, ASKED)))
+    sample, h = np.array([r.v for r in some]), Hash.make(dims.d)
+    probes = probes_needed(h, sample, np.array([r.v for r in few]).reshape(-1, dims.d), k, recall)
+    sent = spark.sparkContext.broadcast((h, (np.array([r.id for r in some]), sample), probes, k))
     tables = len(h.signs)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +122,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             x = matrix(b.column(1))
             if not len(x):
                 continue
-            scores = x @ sample.T  # a row is its own candidate here, so the k-th but one is the sure bound
-            sure = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)] - slack(x, sample) if len(sample) > k else np.full(len(x), -np.inf)
+            scores = against(b, sample)[2]
+            sure = np.partition(scores, -k, axis=1)[:, -k] - slack(x, sample[1]) if scores.shape[1] > k else np.full(len(x), -np.inf)
             unit = units(x)
             for t in range(tables):
                 order = h.probes(unit, t, n)
@@ -126,27 +134,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     probe = asked.mapInArrow(probing, "id long, v array<double>, bucket long, sure double")
     buckets = table(bucket_blocks(rows, probe), "buckets")  # at most tables * 2 * dimension rows
 
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def best_of(asked: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, scores: np.ndarray, least) -> list[np.ndarray]:
+        k = sent.value[3]
+        near = (scores >= np.reshape(least, (-1, 1))) & (scores > -np.inf)
+        if len(ids) > k:
+            near &= scores >= (np.partition(scores, -k, axis=1)[:, -k] - slack(y, x))[:, None]
+        i, j = np.nonzero(near)
+        return [asked[i], ids[j], np.einsum("ij,ij->i", y[i], x[j])]
+
+    def among_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                asked, y, scores = against(b, sent.value[1])
+                yield batch(out, best_of(asked, y, *sent.value[1], scores, -np.inf))
+
     def met(probes: pa.Table, rows: pa.Table) -> pa.Table:
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        k, found = sent.value[3], [[], [], []]
+        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if probes.num_rows and rows.num_rows:
-            ids, x = rows.column("id").to_numpy(), matrix(rows.column("v"))
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            asked, y, sure = probes.column("id").to_numpy(), matrix(probes.column("v")), probes.column("sure").to_numpy()
-            for at in range(0, len(asked), 256):
-                part = slice(at, at + 256)
-                scores = y[part] @ x.T
-                scores[asked[part, None] == ids[None, :]] = -np.inf
-                near = scores >= sure[part, None]
-                if len(ids) > k:
-                    near &= scores >= (np.partition(scores, -k, axis=1)[:, -k] - slack(y[part], x))[:, None]
-                i, j = np.nonzero(near & (scores > -np.inf))
-                found[0].append(asked[part][i]), found[1].append(ids[j])
-                found[2].append(np.einsum("ij,ij->i", y[part][i], x[j]))
-        return pa.table([np.concatenate(f) if f else [] for f in found], schema=out)
+            part = (rows.column("id").to_numpy(), matrix(rows.column("v")))
+            for at in range(0, probes.num_rows, 256):
+                some = probes.slice(at, 256)
+                asked, y, scores = against(some, part)
+                for f, own in zip(found, best_of(asked, y, *part, scores, some.column("sure").to_numpy())):
+                    f.append(own)
+        return pa.table([np.concatenate(f) for f in found], schema=out)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = met_in_blocks(rows, probe, met, "query_id long, vec_id long, score double", buckets)
+    kinds = "query_id long, vec_id long, score double"
+    pairs = met_in_blocks(rows, probe, met, kinds, buckets).union(asked.mapInArrow(among_sample, kinds))
     once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

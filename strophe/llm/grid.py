@@ -41,6 +41,7 @@ def met_in_blocks(rows: DataFrame, probes: DataFrame, met, schema: str, buckets:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = rows.join(F.broadcast(buckets), "bucket").withColumn("block", at("blocks")).withColumn("probe_block", every("probe_blocks")).drop("blocks", "probe_blocks")
     probes = probes.join(F.broadcast(buckets), "bucket").withColumn("probe_block", at("probe_blocks")).withColumn("block", every("blocks")).drop("blocks", "probe_blocks")
+    rows = rows.select(*(F.col(c).alias(c) for c in rows.columns))  # both may come from one table
     keys = ["bucket", "block", "probe_block"]
     return probes.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(met, schema)
 

@@ -73,7 +73,8 @@ def fitted(training: DataFrame, numbers: dict[bytes, int], counts: np.ndarray) -
         ids.append(r.doc_id)
         total += r.size
     chosen = training.where(F.col("doc_id").isin([i for i in ids if i is not None])).select("doc_id", "text").collect()
-    sample = [words(r.text) for r in sorted(chosen, key=lambda r: (ids.index(r.doc_id), r.text or ""))]
+    place = {doc: i for i, doc in enumerate(ids)}
+    sample = [words(r.text) for r in sorted(chosen, key=lambda r: (place[r.doc_id], r.text or ""))]
     sent = spark.sparkContext.broadcast(([np.array([numbers.get(w, gru.OTHER) for w in s] + [gru.END]) for s in sample], counts))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
