@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import relations, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | relations.QUERIES
+ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | relations.ORACLE_SQL
