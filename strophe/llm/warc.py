@@ -247,15 +247,10 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     numbered = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    write_warc(with_types(table(convert_arc(to_arc(numbered)), "records")), path)
+    write_warc(with_types(convert_arc(to_arc(numbered))), path)
     records = table(read_warc(spark, path).drop("payload", "url"), "read")
-    responses = records.where("type = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest"))
-    found = records.join(responses, "refers_to_record", "left")
-    revisit = F.col("type") == "revisit"
-    return found.select(
-        "page_id",
-        F.when(revisit, F.col("full_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("full_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        F.when(revisit, F.col("refers_to")).alias("refers_to"),
-    )
+    responses = records.where("type = 'response'")
+    full = responses.dropDuplicates(["record_id"]).select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    revisits = records.where("type = 'revisit'").select("page_id", "refers_to_record").join(full, "refers_to_record")
+    found = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return found.union(revisits.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit"), "refers_to"))
