@@ -45,18 +45,22 @@ def match_trees(pred: pd.DataFrame, gold: pd.DataFrame, tolerance: int) -> list[
     def below(nodes: pd.DataFrame) -> dict:
         kids: dict = {}
         for r in nodes.sort_values(["line", "order"], kind="stable").itertuples():
-            kids.setdefault(None if pd.isna(r.parent) else r.parent, []).append((r.id, r.line, len(kids.get(r.parent, []))))
+            own = kids.setdefault(None if pd.isna(r.parent) else r.parent, [])
+            own.append((r.id, r.line, len(own)))
         return kids
 
     p_kids, g_kids, found, todo = below(pred), below(gold), [], [(None, None)]
     while todo:
         p, g = todo.pop()
         a, b = p_kids.get(p, []), g_kids.get(g, [])
-        near = {}
+        near, at = {}, {}
+        for j, (_, y, h) in enumerate(b):
+            if not pd.isna(y):
+                at.setdefault(int(y), []).append((j, h))
         for i, (_, x, k) in enumerate(a):
-            for j, (_, y, h) in enumerate(b):
-                if not pd.isna(x) and not pd.isna(y) and abs(x - y) <= tolerance:
-                    near[i, j] = (int(abs(x - y)), abs(k - h))
+            for d in range(-tolerance, tolerance + 1) if not pd.isna(x) else ():
+                for j, h in at.get(int(x) + d, ()):
+                    near[i, j] = (abs(d), abs(k - h))
         for i, j in align(near, len(a), len(b)):
             found.append((a[i][0], b[j][0]))
             todo.append(found[-1])
@@ -70,7 +74,7 @@ def tree_pairs(pred: DataFrame, gold: DataFrame, tolerance: int = 0) -> DataFram
         return pd.DataFrame([(key[0], a, b) for a, b in match_trees(p, g, tolerance)], columns=["tree", "pred_id", "gold_id"])
 
     cols = ["tree", "id", "parent", "line", "order"]
-    return pred.select(*cols).groupBy("tree").cogroup(gold.select(*cols).groupBy("tree")).applyInPandas(lambda k, p, g: both(k, p, g), PAIRS)
+    return pred.select(*cols).groupBy("tree").cogroup(gold.select(*cols).groupBy("tree")).applyInPandas(both, PAIRS)
 
 
 def tree_scores(pred: DataFrame, gold: DataFrame, tolerance: int = 0) -> DataFrame:

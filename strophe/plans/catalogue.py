@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relations, texts
+from . import relations, structures, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | relations.QUERIES
-ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | relations.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | relations.QUERIES | structures.QUERIES
+ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | relations.ORACLE_SQL | structures.ORACLE_SQL
