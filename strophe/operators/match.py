@@ -74,7 +74,8 @@ def tree_pairs(pred: DataFrame, gold: DataFrame, tolerance: int = 0) -> DataFram
         return pd.DataFrame([(key[0], a, b) for a, b in match_trees(p, g, tolerance)], columns=["tree", "pred_id", "gold_id"])
 
     cols = ["tree", "id", "parent", "line", "order"]
-    return pred.select(*cols).groupBy("tree").cogroup(gold.select(*cols).groupBy("tree")).applyInPandas(both, PAIRS)
+    own = [F.col(c).alias(c) for c in cols]  # both may come from one table
+    return pred.select(*cols).groupBy("tree").cogroup(gold.select(*own).groupBy("tree")).applyInPandas(both, PAIRS)
 
 
 def tree_scores(pred: DataFrame, gold: DataFrame, tolerance: int = 0) -> DataFrame:
