@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 PAIRS = "tree string, pred_id string, gold_id string"
 
@@ -107,13 +108,19 @@ def longest_chain(values: list) -> list[int]:
     return chain[::-1]
 
 
-def kept_in_order(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """rows with `in_chain`: whether the row is in a longest run of values that never step back, in the order given."""
+@F.pandas_udf(t.ArrayType(t.BooleanType()))
+def in_chain(values: pd.Series) -> pd.Series:
+    """Of arrays of values: which are in the longest_chain()."""
+    chains = ((set(longest_chain(list(v))), len(v)) for v in values)
+    return pd.Series([[i in chain for i in range(n)] for chain, n in chains])
+
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        chain = set(longest_chain(pdf[value].tolist()))
-        return pdf.assign(in_chain=[i in chain for i in range(len(pdf))])
+def kept_in_order(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """rows with `in_chain`: whether the row is in a longest run of values that never step back, in the order given.
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(*by).applyInPandas(mark, kinds + ", in_chain boolean")
+    Groups are sequences of one document or parent: each becomes one row of arrays, many to a batch of the function.
+    """
+    rest = [c for c in rows.columns if c not in by]
+    sorted_rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order_"), *rest)))
+    groups = rows.groupBy(*by).agg(sorted_rows.alias("r")).withColumn("k", in_chain(F.transform("r", lambda x: x[value])))
+    return groups.select(*by, F.explode(F.arrays_zip("r", "k")).alias("x")).select(*by, *(F.col(f"x.r.{c}").alias(c) for c in rest), F.col("x.k").alias("in_chain")).select(*rows.columns, "in_chain")

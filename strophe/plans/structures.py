@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import formula, graph, match
+from ..functions.search import common_lengths, find_staged
+from ..operators import formula, graph, match, outline, segment, tree
 from ..sources import markup
 from ..streaming import events as streams
-from .relations import NODES_SQL, nodes_of
+from .relations import NODES_SQL, WALK_SQL, nodes_of
 from .tables import load
-from .texts import LINES_SQL
+from .texts import LINES_SQL, PACK_SQL
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -103,3 +104,100 @@ def statement_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def outline_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formula.outlines_of(load(spark, sf_dir, "documents"), formula.LATIN)
+
+
+OUTLINE_SQL = """nd AS (SELECT doc_id AS tree, doc_id || '-' || k AS id, CASE WHEN k > 0 THEN doc_id || '-' || (k // 2 * 2) % (k + 1 - k % 2) END AS parent, k AS "order",
+    CASE WHEN k % 4 = 3 THEN (length(text) * k) // 10 ELSE (length(text) * k) // 8 END AS pos, length(text) AS total FROM documents, range(0, 8) t(k) WHERE text <> '')"""
+
+
+def outline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight nodes a document at known shares of its length, every fourth of them out of order."""
+    docs = load(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.length("text").cast("bigint").alias("total"), F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")).alias("order"))
+    at = F.when(F.col("order") % 4 == 3, F.floor(F.col("total") * F.col("order") / 10)).otherwise(F.floor(F.col("total") * F.col("order") / 8))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("order").cast("string"))
+    return docs.select(F.col("doc_id").cast("string").alias("tree"), name.alias("id"), F.lit(None).cast("string").alias("parent"), "order", at.alias("at"), "total")
+
+
+FLAT_SQL = OUTLINE_SQL.replace("CASE WHEN k > 0 THEN doc_id || '-' || (k // 2 * 2) % (k + 1 - k % 2) END", "NULL")
+SPANS_OF_SQL = f"""{FLAT_SQL}, b AS (SELECT *, max(pos) OVER (PARTITION BY tree ORDER BY "order" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bar FROM nd),
+    pl AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY tree ORDER BY "order"), total) AS e FROM b WHERE pos >= coalesce(bar, 0)),
+    os AS (SELECT CAST(tree AS VARCHAR) AS tree, id AS node, 'leaf' AS kind, pos AS char_start, e AS char_end_excl FROM pl WHERE e > pos)"""
+
+
+@query(f"WITH {SPANS_OF_SQL} SELECT * FROM os")
+def outlined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = outline_nodes(spark, sf_dir)
+    return outline.outlined(nodes.drop("total"), nodes.select("tree", "total").distinct())
+
+
+@query(f"""WITH {SPANS_OF_SQL}, t AS (SELECT CAST(doc_id AS VARCHAR) AS tree, length(text) AS total FROM documents WHERE text <> ''), c AS (SELECT tree, CAST(sum(char_end_excl - char_start) AS BIGINT) AS covered FROM os GROUP BY tree)
+    SELECT tree, coalesce(covered, 0) AS covered, round(coalesce(covered, 0) / CAST(total AS DOUBLE), 6) AS ratio, CAST(0 AS BIGINT) AS n_overlaps FROM t LEFT JOIN c USING (tree)""")
+def outline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = outline_nodes(spark, sf_dir)
+    totals = nodes.select("tree", "total").distinct()
+    return outline.coverage(outline.outlined(nodes.drop("total"), totals), totals)
+
+
+@query(PACK_SQL.rstrip() + f""", {SPANS_OF_SQL} SELECT os.tree, os.node, max(c.chunk_no) AS chunk_no FROM os LEFT JOIN c ON CAST(c.doc_id AS VARCHAR) = os.tree AND c.char_start <= os.char_start GROUP BY ALL""")
+def chunk_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = outline_nodes(spark, sf_dir)
+    spans = outline.outlined(nodes.drop("total"), nodes.select("tree", "total").distinct())
+    chunks = segment.chunked(load(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("tree", F.col("doc_id").cast("string"))
+    return outline.markers(spans, chunks)
+
+
+CHECKED_SQL = """n AS (SELECT l_orderkey AS tree, l_orderkey || '-' || row_number() OVER w AS id, CASE WHEN row_number() OVER w > 1 THEN l_orderkey || '-1' END AS parent, CASE WHEN row_number() OVER w > 1 THEN 2 ELSE 1 END AS level,
+    row_number() OVER w AS "order", CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + l_suppkey % 20 - 2 AS e, CASE WHEN row_number() OVER w = 1 THEN 3 END AS announced FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate))"""
+
+
+def checked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as children of its first line, with spans of known faults."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    rows = load(spark, sf_dir, "lineitem").withColumn("order", F.row_number().over(w).cast("bigint"))
+    tree_, first, start = F.col("l_orderkey").cast("string"), F.col("order") == 1, F.col("l_quantity").cast("bigint")
+    return rows.select(tree_.alias("tree"), F.concat(tree_, F.lit("-"), F.col("order").cast("string")).alias("id"), F.when(~first, F.concat(tree_, F.lit("-1"))).alias("parent"), F.when(first, 1).otherwise(2).alias("level"), "order", start.alias("start"), (start + F.col("l_suppkey") % 20 - 2).alias("end"), F.when(first, 3).alias("announced"))
+
+
+@query(f"""WITH {CHECKED_SQL}, j AS (SELECT n.*, p.s AS ps, p.e AS pe, (SELECT count(*) FROM n k WHERE k.parent = n.id) AS kids, max(n.s) OVER (PARTITION BY n.tree, n.parent ORDER BY n."order" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM n LEFT JOIN n p ON p.id = n.parent)
+    SELECT CAST(tree AS VARCHAR) AS tree, id, 'error' AS severity, 'span-backward' AS code, CAST(e AS VARCHAR) AS detail FROM j WHERE e < s
+    UNION ALL SELECT CAST(tree AS VARCHAR), id, 'error', 'outside-parent', CAST(s AS VARCHAR) FROM j WHERE s < ps OR e > pe
+    UNION ALL SELECT CAST(tree AS VARCHAR), id, 'error', 'sibling-order', CAST(before AS VARCHAR) FROM j WHERE s < before
+    UNION ALL SELECT CAST(tree AS VARCHAR), id, 'warning', 'count-mismatch', CAST(kids AS VARCHAR) FROM j WHERE announced <> kids""")
+def structural_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.findings(checked_nodes(spark, sf_dir))
+
+
+@query()
+def repair_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.repaired(checked_nodes(spark, sf_dir).select("tree", "id", "parent", "order", "start", "end"))
+
+
+@query(f"""WITH {CHECKED_SQL} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN s % 7 = 0 THEN 'no_key' WHEN level = 1 THEN 'out_of_split' WHEN s > 40 THEN 'out_of_scoring_scope' WHEN e > 50 THEN 'out_of_coverage' ELSE 'counted' END AS reason FROM n) GROUP BY reason""")
+def eligibility_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = checked_nodes(spark, sf_dir).withColumns({"line": F.when(F.col("start") % 7 != 0, F.col("start")), "split": F.when(F.col("level") == 1, "test").otherwise("dev")})
+    return outline.eligibility(rows, "dev", F.col("start") <= 40, F.col("end") <= 50).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, heading FROM (SELECT 'r' AS id, 'h' AS heading) WHERE false")
+def markdown_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that don't come back from the rendered outline as they went in."""
+    nodes = tree.numbered(nodes_of(spark, sf_dir)).join(nodes_of(spark, sf_dir).select("id", "heading"), "id")
+    back = outline.parse_markdown(outline.markdown(nodes)).select("id", "heading", "level", "order")
+    own = nodes.select("id", "heading", "level", "order")
+    return own.exceptAll(back).unionByName(back.exceptAll(own)).select("id", "heading")
+
+
+@query(WALK_SQL + ", s2 AS (SELECT id, level, size FROM siz) SELECT level, count(*) AS n, CAST(sum(size) AS BIGINT) AS nodes_below, count(*) FILTER (size = 1) AS leaves, max(size) AS largest FROM s2 GROUP BY level")
+def outline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tree.subtree_sizes(tree.numbered(nodes_of(spark, sf_dir)))
+    return sizes.groupBy("level").agg(F.count("*").alias("n"), F.sum("size").alias("nodes_below"), F.count_if(F.col("size") == 1).alias("leaves"), F.max("size").alias("largest"))
+
+
+@query()
+def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the end of each benchmark item with a blank dropped is found in the item: whole, gapped, suffix or prefix."""
+    items = load(spark, sf_dir, "benchmark").select("item_id", "text", F.concat(F.substring("text", 11, 8), F.substring("text", 21, 6)).alias("needle"))
+    found = items.select("item_id", find_staged("text", "needle").alias("x"), common_lengths("text", "needle").alias("c"))
+    return found.select("item_id", "x.method", "x.start", "x.end_excl", "c.substring", "c.subsequence")
