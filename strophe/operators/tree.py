@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEYS = ["tree", "id"]
+from ..sources.shared import table
 
 
 def walked(nodes: DataFrame, seed: Column, step, most: int = 64) -> DataFrame:
     """nodes with a column `state`, carried from the roots down: `seed` at a root, step(parent's state) below it.
 
-    A loop over levels; each level is one equi-join of the level above with its children, so the number of jobs is the
-    depth, whatever the size. Nodes that no root reaches are left out.
+    A loop over levels; each level is one equi-join of the level above with its children, written as a table, so the
+    number of jobs is the depth, whatever the size, and no level is computed twice. Nodes that no root reaches are left
+    out.
     """
     rest = nodes.alias("n")
-    level = nodes.where("parent IS NULL").withColumn("state", seed)
+    level = table(nodes.where("parent IS NULL").withColumn("state", seed), "level")
     found, depth = level, 1
     while depth < most:
         above = level.select(F.col("tree").alias("t_"), F.col("id").alias("p_"), F.col("state").alias("above_"))
         level = rest.join(above, (F.col("n.tree") == F.col("t_")) & (F.col("n.parent") == F.col("p_"))).select("n.*", step(F.col("above_")).alias("state"))
+        level = table(level, "level")
         if level.isEmpty():
             break
         found, depth = found.unionByName(level), depth + 1
