@@ -172,10 +172,14 @@ def train(m: Model, documents: list[np.ndarray], rounds: int = 2, streams: int =
 
 
 class Scorer:
-    """Log-likelihoods of whole documents, many at once; a document's state is carried from window to window."""
+    """Log-likelihoods of whole documents, many at once; a document's state is carried from window to window.
 
-    def __init__(self, m: Model, together: int = 256, steps: int = 32):
-        self.m, self.together, self.steps = m, together, steps
+    Documents of like length go together, and a window has as many steps as give about `tokens` tokens, but `steps` at
+    least, so that the few very long documents share their steps and their outputs are computed in bulk.
+    """
+
+    def __init__(self, m: Model, together: int = 512, steps: int = 1, tokens: int = 16_384):
+        self.m, self.together, self.steps, self.tokens = m, together, steps, tokens
         self.xw = m.embed @ m.wi + m.bi
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -193,16 +197,18 @@ class Scorer:
         sums = np.zeros(len(documents))
         h = np.zeros((len(documents), m.wh.shape[0]), np.float32)
         before = np.full(len(documents), END)
-        for at in range(0, lengths[0], self.steps):
+        at = 0
+        while at < lengths[0]:
             going = int((lengths > at).sum())
-            long = min(self.steps, lengths[0] - at)
+            long = min(max(self.steps, self.tokens // going), lengths[0] - at)
             words = np.zeros((going, long), np.int64)
             for i in range(going):
                 d = documents[i][at : at + long]
                 words[i, : len(d)] = d
             states, targets, whose = [], [], []
+            active = going - np.searchsorted(np.sort(lengths[:going]), at + np.arange(long), side="right")
             for t in range(long):
-                n = int((lengths[:going] > at + t).sum())
+                n = active[t]
                 h = cell(self.xw[before[:n]], h[:n], m.wh)[0]
                 states.append(h)
                 before = words[:n, t]
@@ -210,4 +216,5 @@ class Scorer:
                 whose.append(np.arange(n))
             logs = output(m, np.concatenate(states), np.concatenate(targets))
             sums[:going] += np.bincount(np.concatenate(whose), weights=logs, minlength=going)
+            at += long
         return sums

@@ -21,6 +21,7 @@ WORDS = 4096  # of the recurrent model; all others are one word to it, told apar
 HEAD = 200_000  # words whose counts every task holds; others' are joined
 HIDDEN, EMBED = 16, 12
 FLUSH = 300_000
+TOGETHER = 8192  # documents scored together
 
 
 def count_words(documents: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def scored(documents: DataFrame, out_of_training: Column, id_col: str = "doc_id"
         bases, shares = base(head_counts.astype(float)), np.where(np.arange(len(head_counts)) < inside, 0.0, share(head_counts.astype(float)))
         scorer = gru.Scorer(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(at, TOGETHER)
                 texts, known, sums, more, rare = [], [], [], [], []
                 for text in b.column(1).to_pylist():
                     found = words(text)

@@ -120,6 +120,7 @@ def test_scores_don_t_depend_on_windows_and_sum_to_one():
     docs = [np.array([3, 2, 5, 0]), np.array([0]), np.array([6] * 70 + [0])]
     one = gru.Scorer(m, together=1, steps=5).score(docs)
     assert np.allclose(one, gru.Scorer(m, together=9, steps=64).score(docs), atol=1e-4)
+    assert np.allclose(one, gru.Scorer(m, together=2, tokens=5).score(docs), atol=1e-4)
     assert sum(math.exp(gru.output(m, np.zeros((1, 4), np.float32), np.array([w]))[0]) for w in range(7)) == pytest.approx(1, abs=1e-5)
 
 
