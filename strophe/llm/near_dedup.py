@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, table, words
 from .components import components
 
-BITS = 3  # 64 one-bit coordinates each
+SKETCH = 1024  # coordinates; the first of them make the bands
+BITS = SKETCH // 64  # words of one-bit coordinates
 ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # SplitMix64's constants
 
 
@@ -80,47 +81,44 @@ def band_shape(percent: int) -> tuple[int, int]:
 
 
 def sketched(documents: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, fingerprint of the whole set, one key per band, and packed bits of the sketch."""
-    size = bands * rows
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("keys", pa.list_(pa.int64())), *((f"b{i}", pa.int64()) for i in range(BITS))])
+    """Per document: doc_id, n_shingles, fingerprint of the whole set, one key per band, and the sketch's bits."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(ODD[1])
         for b in batches:
-            counts, prints, keys, packed = [], [], [], [[] for _ in range(BITS)]
+            counts, prints, keys, bits = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, width, hashes)
                 counts.append(len(s))
                 prints.append(xxhash.xxh128_digest(s.tobytes()))
                 if not len(s):
-                    keys.append(None)
-                    for p in packed:
-                        p.append(0)
+                    keys.append(None), bits.append(None)
                     continue
-                sk = sketch(s, size)
+                sk = sketch(s, SKETCH)
                 key = salt.copy()
-                for column in sk.reshape(bands, rows).T:
+                for column in sk[: bands * rows].reshape(bands, rows).T:
                     key = mixed(key * np.uint64(ODD[0]) + column)
                 keys.append(key.view(np.int64))
-                bits = np.resize((mixed(sk) & np.uint64(1)).astype(np.uint8), 64 * BITS)
-                for p, x in zip(packed, np.packbits(bits).view(np.int64)):
-                    p.append(int(x))
-            yield batch(out, [b.column(0), counts, prints, pa.array(keys, pa.list_(pa.int64())), *packed])
+                bits.append(np.packbits((mixed(sk) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (keys, bits))
+            yield batch(out, [b.column(0), counts, prints, *lists])
 
-    kinds = "doc_id long, n_shingles long, fingerprint binary, keys array<long>, " + ", ".join(f"b{i} long" for i in range(BITS))
-    return documents.mapInArrow(rows_of, kinds)
+    return documents.mapInArrow(rows_of, "doc_id long, n_shingles long, fingerprint binary, keys array<long>, bits array<long>")
 
 
-def likely(percent: int, size: int):
-    """Of a row with columns of two sets (prefixes x_, y_): their sizes allow the threshold, and their bits differ no
-    more than in all but about one in ten million pairs at the threshold."""
-    kinds = min(size, 64 * BITS)  # with fewer coordinates than bits, some are counted twice
+def differing() -> Column:
+    """In how many bits the sketches x_bits and y_bits differ."""
+    return sum((F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(BITS)), F.lit(0))
+
+
+def likely(percent: int) -> Column:
+    """Of a row with sizes and bits of two sets (x_n, x_bits, y_n, y_bits): the sizes allow the threshold, and the bits
+    differ no more than in all but about one in ten million pairs at the threshold."""
     p = (1 - percent / 100) / 2
-    most = 64 * BITS * (p + 5.3 * (p * (1 - p) / kinds) ** 0.5)
-    differ = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(BITS)), F.lit(0))
-    small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    return (small * 100 >= large * percent) & (differ <= int(most))
+    most = int(SKETCH * (p + 5.3 * (p * (1 - p) / SKETCH) ** 0.5))
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (differing() <= most)
 
 
 def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -156,39 +154,57 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     no link, nor has a row of null id. Rows that repeat an id count as one document with that id for links (of
     unequal texts, one stands for it in verification).
 
-    Equal sets are one class with one representative. Representatives are banded; in each bucket all are compared
-    with the smallest, so a group of any number of copies costs one pair each. Then, in buckets that still hold
-    several components, members outside the largest component are compared with those of other components: a
-    pair within a component would add nothing. Pairs pass sizes and bits of the sketches, then full sets decide.
+    Equal sets are one class with one representative. Representatives are banded; what shares no bucket is done with.
+    In each bucket all are compared with its most central member, which shares the most buckets' worth of others, so a
+    group of any number of copies costs a pair each. In buckets that still hold several components, members outside
+    the largest are met with those of other components (a pair within one would add nothing): first each with the
+    likeliest of each component, then, where components still differ, with all. Pairs pass sizes and bits of the
+    sketches, then full sets decide.
     """
     bands, rows = band_shape(percent)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = table(sketched(docs, width, bands, rows), "sketches")
     lasting = known.where("doc_id IS NOT NULL AND n_shingles > 0")
-    one = F.min(F.struct("doc_id", "n_shingles", "keys", *(f"b{i}" for i in range(BITS)))).alias("s")
-    reps = table(lasting.groupBy("fingerprint").agg(one).select("fingerprint", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.keys", *(f"s.b{i}" for i in range(BITS))), "classes")
-    marks = ["rep", "n", *(f"b{i}" for i in range(BITS))]
-    members = reps.select(F.explode("keys").alias("key"), *marks)
-    as_x, as_y = ([F.col(c).alias(f"{p}_{c}") for c in marks] for p in "xy")
-
-    leads = members.groupBy("key").agg(F.min(F.struct(*marks)).alias("lead"), F.count("*").alias("of")).where("of > 1").select("key", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in marks))
-    near = members.select("key", *as_x).join(leads, "key").where(F.col("x_rep") != F.col("y_rep")).where(likely(percent, bands * rows))
-    pairs = table(near.select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y")).distinct(), "pairs")
-    links = table(verified(pairs, docs, width, percent), "links")
-
-    label = components(links, "x", "y").select(F.col("id").alias("rep"), "component")
-    labelled = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    reps = lasting.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "bits")).alias("s"))
+    reps = table(reps.select("fingerprint", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.keys", "s.bits"), "classes")
+    members = reps.select(F.explode("keys").alias("key"), "rep")
+    shared = members.groupBy("key").agg(F.count("*").alias("of")).where("of > 1")
+    live = table(members.join(shared, "key"), "live")
+    marks = table(reps.select("rep", "n", "bits").join(live.groupBy("rep").agg(F.sum("of").alias("central")), "rep"), "marks")
+
+    def marked(pairs: DataFrame) -> DataFrame:
+        as_x, as_y = (marks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("rep", "n", "bits"))).withColumnRenamed(f"{p}_rep", p) for p in "xy")
+        return pairs.join(as_x, "x").join(as_y, "y")
+
+    def labels(links: DataFrame) -> DataFrame:
+        return components(links, "x", "y").select(F.col("id").alias("rep"), "component")
+
+    central = F.max(F.struct(F.col("central"), (-F.col("rep")).alias("minus"))).alias("lead")
+    leads = live.join(marks.select("rep", "central"), "rep").groupBy("key").agg(central).select("key", (-F.col("lead.minus")).alias("lead"))
+    star = live.join(leads, "key").where("rep <> lead").select(F.greatest("rep", "lead").alias("x"), F.least("rep", "lead").alias("y")).distinct()
+    star = table(star, "star")
+    links = table(verified(table(marked(star).where(likely(percent)).select("x", "y"), "pairs"), docs, width, percent), "links")
+
+    labelled = live.join(labels(links), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     shares = labelled.groupBy("key", "component").agg(F.count("*").alias("of"))
-    open_ = shares.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("of", "component")).alias("most")).where("several > 1").select("key", F.col("most.component").alias("largest"))
-    rest = table(labelled.join(open_, "key"), "open")
-    left = rest.where("component <> largest").select("key", *as_x, F.col("component").alias("x_component"))
-    right = rest.select("key", *as_y, F.col("component").alias("y_component"), "largest")
+    several = shares.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("of", "component")).alias("most")).where("several > 1").select("key", F.col("most.component").alias("largest"))
+    open_ = table(labelled.join(several, "key").join(marks.select("rep", "n", "bits"), "rep"), "open")
+    left = open_.where("component <> largest").select("key", *(F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "bits")))
+    right = open_.select("key", "largest", *(F.col(c).alias(f"y_{c}") for c in ("rep", "component", "n", "bits")))
     across = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("largest")) | (F.col("x_rep") < F.col("y_rep")))
-    more = left.join(right, "key").where(across & likely(percent, bands * rows))
-    more = more.select(F.greatest("x_rep", "y_rep").alias("x"), F.least("x_rep", "y_rep").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    links = links.union(verified(table(more, "pairs"), docs, width, percent))
-
-    classes = reps.select("fingerprint", "rep").join(components(links, "x", "y").withColumnRenamed("id", "rep"), "rep", "left")
+    more = left.join(right, "key").where(across & likely(percent)).select("x_rep", "y_rep", "y_component", differing().alias("differ")).distinct()
+    more = more.select(F.greatest("x_rep", "y_rep").alias("x"), F.least("x_rep", "y_rep").alias("y"), F.col("x_rep").alias("from"), F.col("y_component").alias("into"), "differ")
+    more = table(more.join(star, ["x", "y"], "left_anti"), "more")
+    best = table(more.groupBy("from", "into").agg(F.min(F.struct("differ", "x", "y")).alias("p")).select("p.x", "p.y").distinct(), "best")
+    links = table(links.union(verified(best, docs, width, percent)), "links")
+
+    now = labels(links)
+    label_of = lambda p: now.select(F.col("rep").alias(p), F.col("component").alias(f"{p}_component"))
+    rest = more.select("x", "y").distinct().join(best, ["x", "y"], "left_anti").join(label_of("x"), "x", "left").join(label_of("y"), "y", "left")
+    rest = rest.where(F.coalesce("x_component", "x") != F.coalesce("y_component", "y")).select("x", "y")
+    links = links.union(verified(table(rest, "rest"), docs, width, percent))
+
+    classes = reps.select("fingerprint", "rep").join(labels(links), "rep", "left")
     classes = classes.select("fingerprint", F.coalesce("component", "rep").alias("component"))
     found = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fingerprint")).alias("fingerprint"))
     found = found.join(classes, "fingerprint", "left")
