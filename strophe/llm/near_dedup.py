@@ -188,11 +188,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     labelled = live.join(labels(links), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     shares = labelled.groupBy("key", "component").agg(F.count("*").alias("of"))
     several = shares.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("of", "component")).alias("most")).where("several > 1").select("key", F.col("most.component").alias("largest"))
-    open_ = table(labelled.join(several, "key").join(marks.select("rep", "n", "bits"), "rep"), "open")
-    left = open_.where("component <> largest").select("key", *(F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "bits")))
-    right = open_.select("key", "largest", *(F.col(c).alias(f"y_{c}") for c in ("rep", "component", "n", "bits")))
+    open_ = table(labelled.join(several, "key").join(reps.select("rep", "n", "bits", "keys"), "rep"), "open")
+    sides = ("rep", "component", "n", "bits", "keys")
+    left = open_.where("component <> largest").select("key", *(F.col(c).alias(f"x_{c}") for c in sides))
+    right = open_.select(F.col("key").alias("y_key"), "largest", *(F.col(c).alias(f"y_{c}") for c in sides))
+    same = F.filter(F.zip_with("x_keys", "y_keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())
     across = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("largest")) | (F.col("x_rep") < F.col("y_rep")))
-    more = left.join(right, "key").where(across & likely(percent)).select("x_rep", "y_rep", "y_component", differing().alias("differ")).distinct()
+    once = F.get(same, F.lit(0)) == F.col("key")  # a pair in several open buckets is met in the first that it shares
+    more = left.join(right, (F.col("key") == F.col("y_key")) & across & likely(percent) & once).select("x_rep", "y_rep", "y_component", differing().alias("differ")).distinct()
     more = more.select(F.greatest("x_rep", "y_rep").alias("x"), F.least("x_rep", "y_rep").alias("y"), F.col("x_rep").alias("from"), F.col("y_component").alias("into"), "differ")
     more = table(more.join(star, ["x", "y"], "left_anti"), "more")
     best = table(more.groupBy("from", "into").agg(F.min(F.struct("differ", "x", "y")).alias("p")).select("p.x", "p.y").distinct(), "best")
