@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -68,38 +69,43 @@ def output(m: Model, h: np.ndarray, target: np.ndarray, grad: bool = False):
 
     With grad, also the loss's gradients by h and by uc, bc, uw, bw.
     """
-    c = m.cls[target]
-    rows = np.arange(len(h))
-    z = h @ m.uc + m.bc
-    z -= z.max(axis=1, keepdims=True)
+    c = m.cls[target].astype(np.int16)  # sorted by digits
+    order = np.argsort(c, kind="stable")
+    c, y, own = c[order], target[order], np.ascontiguousarray(h[order].T)  # a column per target
+    columns = np.arange(len(h))
+    z = m.uc.T @ own + m.bc[:, None]
+    z -= z.max(axis=0)
     e = np.exp(z)
-    total = e.sum(axis=1)
-    logs = z[rows, c] - np.log(total)
+    total = e.sum(axis=0)
+    sorted_logs = z[c, columns] - np.log(total)
     if grad:
-        d = e / total[:, None]
-        d[rows, c] -= 1
-        dh, duc, dbc = d @ m.uc.T, h.T @ d, d.sum(axis=0)
+        e /= total
+        e[c, columns] -= 1
+        sorted_dh, duc, dbc = m.uc @ e, own @ e.T, e.sum(axis=1)
         duw, dbw = np.zeros_like(m.uw), np.zeros_like(m.bw)
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(len(m.first)))
+    bounds = np.searchsorted(c, np.arange(len(m.first)))
     for k in np.flatnonzero(np.diff(bounds)):
-        at, a, b = order[bounds[k] : bounds[k + 1]], m.first[k], m.first[k + 1]
+        at, a, b = slice(bounds[k], bounds[k + 1]), m.first[k], m.first[k + 1]
         if b - a == 1:
             continue
-        own = h[at]
-        z = own @ m.uw[a:b].T + m.bw[a:b]
-        z -= z.max(axis=1, keepdims=True)
+        z = m.uw[a:b] @ own[:, at] + m.bw[a:b, None]
+        z -= z.max(axis=0)
         e = np.exp(z)
-        total = e.sum(axis=1)
-        y = target[at] - a
-        logs[at] += z[np.arange(len(at)), y] - np.log(total)
+        total = e.sum(axis=0)
+        i, j = y[at] - a, columns[: len(total)]
+        sorted_logs[at] += z[i, j] - np.log(total)
         if grad:
-            d = e / total[:, None]
-            d[np.arange(len(at)), y] -= 1
-            dh[at] += d @ m.uw[a:b]
-            duw[a:b] += d.T @ own
-            dbw[a:b] += d.sum(axis=0)
-    return (logs, dh, {"uc": duc, "bc": dbc, "uw": duw, "bw": dbw}) if grad else logs
+            e /= total
+            e[i, j] -= 1
+            sorted_dh[:, at] += m.uw[a:b].T @ e
+            duw[a:b], dbw[a:b] = e @ own[:, at].T, e.sum(axis=1)
+    logs = np.empty_like(sorted_logs)
+    logs[order] = sorted_logs
+    if not grad:
+        return logs
+    dh = np.empty_like(h)
+    dh[order] = sorted_dh.T
+    return logs, dh, {"uc": duc, "bc": dbc, "uw": duw, "bw": dbw}
 
 
 def window(m: Model, h0: np.ndarray, before: np.ndarray, target: np.ndarray, fresh: np.ndarray):
@@ -130,29 +136,48 @@ def window(m: Model, h0: np.ndarray, before: np.ndarray, target: np.ndarray, fre
         dwh += was.T @ dhw
         dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dhw @ m.wh.T)
     flatx, flatd = x.reshape(-1, x.shape[2]), dxw.reshape(-1, 3 * k)
-    dembed = np.zeros_like(m.embed)
-    np.add.at(dembed, before.ravel(), flatd @ m.wi.T)
+    dx, n = flatd @ m.wi.T, len(m.embed)
+    dembed = np.stack([np.bincount(before.ravel(), weights=column, minlength=n) for column in dx.T], axis=1).astype(m.embed.dtype)
     return logs.sum(), h, grads | {"embed": dembed, "wi": flatx.T @ flatd, "bi": flatd.sum(axis=0), "wh": dwh}
 
 
-def train(m: Model, documents: list[np.ndarray], rounds: int = 2, streams: int = 32, steps: int = 16, rate: float = 0.01) -> Model:
-    """Truncated backpropagation by Adam over whole documents (arrays of words that end in END), dealt to streams."""
+class Adam:
+    """Moments of all parameters, and steps taken."""
+
+    def __init__(self, m: Model):
+        self.means, self.squares = ({p: np.zeros_like(getattr(m, p)) for p in PARAMETERS} for _ in range(2))
+        self.step = 0
+
+    def move(self, m: Model, grads: dict[str, np.ndarray], scale: float, rate: float) -> None:
+        """Changes m in place by the gradients times scale."""
+        self.step += 1
+        speed = rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        for p in PARAMETERS:
+            g = grads[p] * np.float32(scale)
+            self.means[p] += np.float32(0.1) * (g - self.means[p])
+            self.squares[p] += np.float32(0.001) * (g * g - self.squares[p])
+            getattr(m, p)[...] -= np.float32(speed) * self.means[p] / (np.sqrt(self.squares[p]) + np.float32(1e-8))
+
+
+def train(m: Model, documents: list[np.ndarray], rounds: int = 2, streams: int = 32, steps: int = 16, rate: float = 0.01, adam: Adam | None = None) -> Model:
+    """Truncated backpropagation by Adam over whole documents (arrays of words that end in END), dealt to streams.
+
+    The rate falls to 0 unless adam is given, whose steps then go on. Streams have one length: the last is filled up with the first words.
+    """
     if not documents:
         return m
-    means = {p: np.zeros_like(getattr(m, p)) for p in PARAMETERS}
-    squares = {p: np.zeros_like(getattr(m, p)) for p in PARAMETERS}
+    falls, adam = adam is None, adam or Adam(m)
     text = np.concatenate(documents)
     starts = np.zeros(len(text), bool)
     starts[np.cumsum([0, *map(len, documents[:-1])])] = True
-    long = max(1, len(text) // streams)
-    streams = min(streams, len(text))
-    take = np.arange(streams)[None, :] * long + np.arange(long)[:, None]
+    streams = max(1, min(streams, len(text) // (32 * steps)))  # 32 windows at least
+    long = -(-len(text) // streams)
+    take = (np.arange(streams)[None, :] * long + np.arange(long)[:, None]) % len(text)
     target, fresh = text[take], starts[take]
     fresh[0] = True  # what came before a stream's start is another's
     before = np.concatenate([np.full((1, streams), END), target[:-1]])
     before = np.where(fresh, END, before)
-    step = 0
-    total = rounds * -(-long // steps)
+    step, total = 0, rounds * -(-long // steps)
     for _ in range(rounds):
         h = np.zeros((streams, m.wh.shape[0]), np.float32)
         for at in range(0, long, steps):
@@ -161,16 +186,23 @@ def train(m: Model, documents: list[np.ndarray], rounds: int = 2, streams: int =
             step += 1
             n = target[part].size
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
-            scale = 1 / n / max(1, norm)
-            speed = rate * (1 - step / (total + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for p in PARAMETERS:
-                g = grads[p] * np.float32(scale)
-                means[p] += np.float32(0.1) * (g - means[p])
-                squares[p] += np.float32(0.001) * (g * g - squares[p])
-                getattr(m, p)[...] -= np.float32(speed) * means[p] / (np.sqrt(squares[p]) + np.float32(1e-8))
+            adam.move(m, grads, 1 / n / max(1, norm), rate * (1 - step / (total + 1)) if falls else rate)
     return m
 
 
+def train_all(m: Model, documents: Iterable[np.ndarray], rate: float, streams: int = 1024, tokens: int = 1_048_576) -> int:
+    """One round of train() over all the documents, about `tokens` words at a time; how many words there were."""
+    adam, some, size, total = Adam(m), [], 0, 0
+    for d in documents:
+        some.append(d)
+        size += len(d)
+        if size >= tokens:
+            train(m, some, 1, streams, rate=rate, adam=adam)
+            some, size, total = [], 0, total + size
+    train(m, some, 1, streams, rate=rate, adam=adam)
+    return total + size
+
+
 class Scorer:
     """Log-likelihoods of whole documents, many at once; a document's state is carried from window to window.
 

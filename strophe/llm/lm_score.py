@@ -8,15 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
 from .common import batch, held_out, table, words
 
-#: The recurrent model is fitted on whole training documents, by hash of their id, of so many words in all at least.
+#: The recurrent model starts from a fit on the first training documents by hash of their id: up to so many, and up to about so many words.
 SAMPLE_WORDS = 300_000
 SAMPLE_DOCUMENTS = 4_000
+ROUNDS, RATE = 2, 0.01  # in which all training documents are learnt from, each in one; the rate falls from round to round
+PIECES = 64  # of the parameters, that are averaged apart
 WORDS = 4096  # of the recurrent model; all others are one word to it, told apart by their counts
 HEAD = 200_000  # words whose counts every task holds; others' are joined
 HIDDEN, EMBED = 16, 12
@@ -62,8 +65,8 @@ def head_of(vocabulary: DataFrame, most: int) -> pa.Table:
     return vocabulary.where(level >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
 
 
-def fitted(training: DataFrame, numbers: dict[bytes, int], counts: np.ndarray) -> gru.Model:
-    """The recurrent model, fitted in one task on a sample of whole training documents; see SAMPLE_WORDS."""
+def started(training: DataFrame, numbers: dict[bytes, int], counts: np.ndarray) -> gru.Model:
+    """The recurrent model to begin with, fitted in one task on a sample of whole training documents; see SAMPLE_WORDS."""
     spark = training.sparkSession
     size = F.length(F.coalesce("text", F.lit("")))
     lengths = training.select("doc_id", size.alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(SAMPLE_DOCUMENTS).collect()
@@ -88,12 +91,51 @@ def fitted(training: DataFrame, numbers: dict[bytes, int], counts: np.ndarray) -
     return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(fit, "model binary").head()[0])
 
 
+def fitted(training: DataFrame, numbers: dict[bytes, int], model: gru.Model) -> gru.Model:
+    """The model after ROUNDS over disjoint shares, by hash, that hold all training documents.
+
+    In a round each task trains the model on what it reads of the share; the parameters are averaged by numbers of words,
+    piece by piece, so that no task holds more than a piece of every task's.
+    """
+    spark = training.sparkSession
+    names, sizes = gru.PARAMETERS, [getattr(model, p).size for p in gru.PARAMETERS]
+    schema = pa.schema([("piece", pa.int32()), ("task", pa.int32()), ("n", pa.int64()), ("part", pa.binary())])
+    for at in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((model, numbers))
+        rate = RATE * (1 - at / ROUNDS)
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, numbers = sent.value
+            own = model._replace(**{p: getattr(model, p).copy() for p in names})
+            texts = (text for b in batches for text in b.column(0).to_pylist())
+            n = gru.train_all(own, (np.array([numbers.get(w, gru.OTHER) for w in words(text)] + [gru.END]) for text in texts), rate)
+            if n:
+                flat = np.concatenate([getattr(own, p).ravel() for p in names])
+                task = TaskContext.get().partitionId()
+                yield batch(schema, [list(range(PIECES)), [task] * PIECES, [n] * PIECES, [x.tobytes() for x in np.array_split(flat, PIECES)]])
+
+        def mean(parts: pa.Table) -> pa.Table:
+            parts = parts.sort_by("task")
+            n = parts.column("n").to_numpy()
+            whole = sum(np.frombuffer(x.as_py(), np.float32) * (k / n.sum()) for x, k in zip(parts.column("part"), n))
+            return pa.table([parts.column("piece")[:1], parts.column("task")[:1], [int(n.sum())], [whole.astype(np.float32).tobytes()]], schema=schema)
+
+        kinds = "piece int, task int, n long, part binary"
+        share = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == at).select("text")
+        found = share.mapInArrow(learn, kinds).groupBy("piece").applyInArrow(mean, kinds).collect()
+        if found:
+            flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(found, key=lambda r: r.piece)])
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            model = model._replace(**{p: x.reshape(getattr(model, p).shape) for p, x in zip(names, parts)})
+    return model
+
+
 def scored(documents: DataFrame, out_of_training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text is its end alone; a null id stays null; repeated rows are scored alike; without training
     documents nothing is known and both scores rest on one unknown token. base_score is the add-one unigram score.
-    score is the recurrent model's: of a word beyond its WORDS, the probability of such a word times its add-one share
+    score is the recurrent model's, which learns from all training documents (by which task reads them, see fitted()): of a word beyond its WORDS, the probability of such a word times its add-one share
     among those. Counts are of all training words: the HEAD most frequent are sent to every task, the others'
     are joined to the (document, rare word) pairs.
     """
@@ -109,7 +151,10 @@ def scored(documents: DataFrame, out_of_training: Column, id_col: str = "doc_id"
     inside = min(WORDS - 2, len(head_words))
     numbers = {w: i + 2 for i, w in enumerate(head_words[:inside])}
     beyond, beyond_kinds = int(n_words - head_counts[:inside].sum()), distinct - inside
-    model = fitted(training, numbers, np.array([ends, beyond, *head_counts[:inside]], dtype=float)) if ends else gru.new(np.ones(2), HIDDEN, EMBED)
+    if ends:
+        model = fitted(training, numbers, started(training, numbers, np.array([ends, beyond, *head_counts[:inside]], dtype=float)))
+    else:
+        model = gru.new(np.ones(2), HIDDEN, EMBED)
     sent = spark.sparkContext.broadcast((model, head_words, head_counts))
     base = lambda c: np.log10((c + 1) / (n + v + 1))
     share = lambda c: np.log10((c + 1) / (beyond + beyond_kinds + 1))

@@ -143,6 +143,25 @@ def test_language_model_counts_and_held_out_gain(spark, monkeypatch):
     assert score_documents(rows.limit(0)).count() == 0
 
 
+def test_recurrent_model_learns_from_documents_outside_its_first_sample(spark, monkeypatch):
+    monkeypatch.setattr("strophe.llm.lm_score.SAMPLE_DOCUMENTS", 4)
+    ids = spark.range(120).withColumn("held", F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2).orderBy(F.xxhash64("id")).collect()
+    first = [r.id for r in ids if not r.held][:4]
+    docs = [(r.id, " ".join(["d c b a" if r.id in first else "a b c d"] * 100)) for r in ids]
+    held = [x for x in score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect() if x.held_out]
+    assert sum(x.score - x.base_score for x in held) > 0.3 * sum(x.n_tokens for x in held)
+
+
+def test_every_word_is_trained_on_and_chunks_share_moments(monkeypatch):
+    seen = Counter()
+    window = gru.window
+    monkeypatch.setattr(gru, "window", lambda m, h, before, target, fresh: seen.update(target.ravel().tolist()) or window(m, h, before, target, fresh))
+    docs = [np.array([2, 3, 4, 0])] * 50 + [np.array([5, 6, 0])]
+    assert gru.train_all(gru.new(np.ones(7), 4, 3), docs, 0.01, streams=16, tokens=100) == 203
+    want = Counter(w for d in docs for w in d.tolist())
+    assert all(seen[w] >= want[w] for w in want) and sum(seen.values()) < 203 + 3 * 16
+
+
 def test_arc_versions_and_conversion():
     for version in (1, 2):
         payloads = [b"", b"<p>\n\nfiledesc:\r\n\r\n</p>", "é漢".encode()]
