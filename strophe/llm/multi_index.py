@@ -14,7 +14,9 @@ from .common import table
 from .components import components
 from .grid import bucket_blocks, matrix, met_in_blocks, units, valid
 
-SAMPLE = 8192  # vectors on which codebooks are fitted and the depth of the traversal is set
+SAMPLE = 8192  # vectors on which codebooks are fitted and the first depth of the traversal is set
+ASKED = 1024  # vectors whose real links may deepen it
+PAIRS = 20_000  # whose depths are measured in 2,048 rows; of more, a random choice that stands for all
 PER_CELL = 64  # vectors that a cell holds on average, at most 256 centroids a half allowing
 RECALL = 0.98
 
@@ -67,7 +69,7 @@ def build(sample: np.ndarray, total: int, cosine: float, recall: float = RECALL,
     """Codebooks for `total` unit vectors, and how many cells must be visited.
 
     The traversal is as deep as the share `recall` of partners needs that lie at exactly `cosine` from the sample's
-    vectors, in random directions: nearer partners need no more.
+    vectors, in random directions. Real links may need more: see deepened().
     """
     rng = np.random.default_rng(seed)
     half = sample.shape[1] // 2
@@ -85,6 +87,51 @@ def build(sample: np.ndarray, total: int, cosine: float, recall: float = RECALL,
     return index._replace(cells=int(np.quantile(depth, recall, method="higher")))
 
 
+def depths(a: np.ndarray, b: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """How many cells of each row are nearer than `there`, and one more."""
+    b = np.sort(b, axis=1)
+    return np.array([np.searchsorted(y, t - x).sum() for x, y, t in zip(a, b, there)], dtype=np.int64) + 1
+
+
+def deepened(index: Index, classes: DataFrame, ids: np.ndarray, asked: np.ndarray, cosine: float, recall: float) -> Index:
+    """The index, its traversal no shallower than the share `recall` of the real links of the asked needs.
+
+    The asked (ids, unit vectors) are compared with all of classes (rep, v); of a link, the end that is sooner at the
+    other's cell counts.
+    """
+    sent = classes.sparkSession.sparkContext.broadcast((index, ids, asked))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids, asked = sent.value
+        qa, qb = index.distances(asked)
+        qi, qj = qa.argmin(axis=1), qb.argmin(axis=1)
+        rng = np.random.default_rng(5)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                x = matrix(b.column(1))
+                row, q = np.nonzero((x @ asked.T >= cosine) & (b.column(0).to_numpy()[:, None] != ids[None, :]))
+                if not len(row):
+                    continue
+                stands = max(1.0, len(row) / PAIRS)
+                if stands > 1:
+                    some = rng.choice(len(row), PAIRS, replace=False)
+                    row, q = row[some], q[some]
+                xa, xb = index.distances(x)
+                xi, xj = xa.argmin(axis=1), xb.argmin(axis=1)
+                there = depths(xa[row], xb[row], xa[row, qi[q]] + xb[row, qj[q]])
+                back = depths(qa[q], qb[q], qa[q, xi[row]] + qb[q, xj[row]])
+                depth, n = np.unique(np.minimum(there, back), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(depth), pa.array(n * stands)], names=["depth", "n"])
+
+    found = classes.select("rep", "v").mapInArrow(measured, "depth long, n double").groupBy("depth").agg(F.sum("n").alias("n")).orderBy("depth").collect()  # at most 65,536 rows
+    if not found:
+        return index
+    n = np.cumsum([r.n for r in found])
+    deep = found[min(int(np.searchsorted(n, recall * n[-1])), len(found) - 1)].depth
+    return index._replace(cells=min(max(index.cells, deep), len(index.left) * len(index.right)))
+
+
 def linked(unit: DataFrame, index: Index, cosine: float) -> DataFrame:
     """(id, n, link): of vectors (id, v, copies) that have links in some block, how many, and a vector linked to them there.
 
@@ -185,8 +232,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = RECALL
 
     unit = table(known.where(F.size("v") == dims.d).mapInArrow(scaled, "id long, v array<double>"), "units")
     classes = table(unit.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    sample = np.array([r.v for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()])
+    some = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    sample = np.array([r.v for r in some])
     index = build(sample, classes.count(), cosine, recall)
+    index = deepened(index, classes, np.array([r.rep for r in some[:ASKED]]), sample[:ASKED], cosine, recall)
     found = table(linked(classes.select(F.col("rep").alias("id"), "v", "copies"), index, cosine), "found")
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     label = components(found, "id", "link").select(F.col("id").alias("rep"), "component")

@@ -57,6 +57,17 @@ def test_near_vectors_against_brute_force(spark):
     assert near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_links_near_a_subspace_are_found(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((6000, 4)) @ np.linalg.qr(r.standard_normal((64, 4)))[0].T + 0.01 * r.standard_normal((6000, 64))
+    x = x.astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    real = int((u @ u.T >= 0.9).sum()) - len(x)
+    rows = [(i, row, 0) for i, row in enumerate(x.tolist())]
+    found = near_vectors(spark.createDataFrame(rows, VECTORS)).agg(F.sum("n_links")).head()[0]
+    assert 0.97 * real <= found <= real, found / real
+
+
 def test_traversal_visits_the_nearest_cells_in_order():
     r = np.random.default_rng(3)
     a, b = r.random((5, 6)), r.random((5, 7))
