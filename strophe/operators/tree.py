@@ -13,17 +13,19 @@ def walked(nodes: DataFrame, seed: Column, step, most: int = 64) -> DataFrame:
 
     A loop over levels; each level is one equi-join of the level above with its children, written as a table, so the
     number of jobs is the depth, whatever the size, and no level is computed twice. Nodes that no root reaches are left
-    out.
+    out; nodes below level `most` are an error.
     """
     rest = nodes.alias("n")
     level = table(nodes.where("parent IS NULL").withColumn("state", seed), "level")
     found, depth = level, 1
-    while depth < most:
+    while True:
         above = level.select(F.col("tree").alias("t_"), F.col("id").alias("p_"), F.col("state").alias("above_"))
         level = rest.join(above, (F.col("n.tree") == F.col("t_")) & (F.col("n.parent") == F.col("p_"))).select("n.*", step(F.col("above_")).alias("state"))
         level = table(level, "level")
         if level.isEmpty():
             break
+        if depth == most:
+            raise ValueError(f"a root reaches nodes below level {most}")
         found, depth = found.unionByName(level), depth + 1
     return found
 

@@ -184,3 +184,11 @@ def test_streams_give_the_batch_rows(spark, tmp_path):
     assert run(last(stream), "complete", "l") == sorted(map(tuple, last(batch).collect())) == [(0, 48, 48.0), (1, 49, 49.0)]
     assert run(events.running_budget(stream, "user_id", "value", 600.0), "update", "b") == [(0, 600.0, False), (1, 625.0, True)]
     assert len(run(events.once(stream, ["event_type"]), "append", "o")) == 2
+
+
+def test_trees_deeper_than_the_bound_are_an_error(spark):
+    nodes = spark.createDataFrame([(1, i, i - 1 if i > 1 else None, 1) for i in range(1, 5)], "tree long, id long, parent long, ord int")
+    walk = lambda most: tree.walked(nodes, F.lit(1), lambda above: above + 1, most)
+    assert walk(4).count() == 4
+    with pytest.raises(ValueError):
+        walk(3)
