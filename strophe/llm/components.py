@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dropped, table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = table(large.where("u <> v").union(edges.join(least, "u").select("u", F.col("m").alias("v")).where("u <> v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = table(small.distinct(), "small")
+        earlier, edges = edges, table(small.distinct(), "small")
+        dropped(earlier, large)
         state = _state(edges)
     found = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return found.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

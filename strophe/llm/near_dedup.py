@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, table, words
+from .common import batch, dropped, in_groups, sized, table, words
 from .components import components
 
 SKETCH = 1024  # coordinates; the first of them make the bands
 BITS = SKETCH // 64  # words of one-bit coordinates
+BLOCK = 512  # members of an open bucket, or of a lead, that meet in one task
+SHINGLES = 1 << 18  # of all members of such a block together
 ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # SplitMix64's constants
 
 
@@ -81,15 +83,16 @@ def band_shape(percent: int) -> tuple[int, int]:
 
 
 def sketched(documents: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, fingerprint of the whole set, one key per band, and the sketch's bits."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """Per row of documents (doc_id, text_hash, text): doc_id, text_hash, n_shingles, fingerprint of the whole set, one key
+    per band, and the sketch's bits."""
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(ODD[1])
         for b in batches:
             counts, prints, keys, bits = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text, width, hashes)
                 counts.append(len(s))
                 prints.append(xxhash.xxh128_digest(s.tobytes()))
@@ -103,113 +106,258 @@ def sketched(documents: DataFrame, width: int, bands: int, rows: int) -> DataFra
                 keys.append(key.view(np.int64))
                 bits.append(np.packbits((mixed(sk) & np.uint64(1)).astype(np.uint8)).view(np.int64))
             lists = (pa.array(x, pa.list_(pa.int64())) for x in (keys, bits))
-            yield batch(out, [b.column(0), counts, prints, *lists])
+            yield batch(out, [b.column(0), b.column(1), counts, prints, *lists])
 
-    return documents.mapInArrow(rows_of, "doc_id long, n_shingles long, fingerprint binary, keys array<long>, bits array<long>")
+    return documents.mapInArrow(rows_of, "doc_id long, text_hash long, n_shingles long, fingerprint binary, keys array<long>, bits array<long>")
 
 
-def differing() -> Column:
-    """In how many bits the sketches x_bits and y_bits differ."""
-    return sum((F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(BITS)), F.lit(0))
+def most_differing(percent: int) -> int:
+    """In how many bits two sketches differ at most, but for about one in ten million pairs at the threshold."""
+    p = (1 - percent / 100) / 2
+    return int(SKETCH * (p + 5.3 * (p * (1 - p) / SKETCH) ** 0.5))
 
 
 def likely(percent: int) -> Column:
-    """Of a row with sizes and bits of two sets (x_n, x_bits, y_n, y_bits): the sizes allow the threshold, and the bits
-    differ no more than in all but about one in ten million pairs at the threshold."""
-    p = (1 - percent / 100) / 2
-    most = int(SKETCH * (p + 5.3 * (p * (1 - p) / SKETCH) ** 0.5))
-    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (differing() <= most)
+    """Of a row with sizes and bits of two sets (x_n, x_bits, y_n, y_bits): sizes and bits allow the threshold."""
+    differing = sum((F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(BITS)), F.lit(0))
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (differing <= most_differing(percent))
 
 
-def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of documents with 100 * intersection >= percent * union of their full shingle sets."""
-    named = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = documents.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def texts_of(wanted: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame:
+    """(rep, text) of the representatives wanted (rep), a stored table. Their ids go to the documents where their number
+    allows it, so that no other text is moved."""
+    named = table(wanted.join(reps.select("rep", "doc_id", "text_hash"), "rep"), "named")
+    found = documents.join(sized(named), ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"])
+    return table(found, "texts")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, out = WordHashes(), pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
-        for b in batches:
-            yield batch(out, [b.column(0), [shingle_set(t, width, hashes).tobytes() for t in b.column(1).to_pylist()]])
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (x, y) with 100 * intersection >= percent * union of their full shingle sets.
+
+    Pairs are dealt by x, in parts of about BLOCK, and the text of x heads each part, once.
+    """
+    parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part")
+    heads = parts.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("rep", "x"), "x").select("x", "part", F.lit(0).alias("follows"), F.col("x").alias("y"), "text")
+    rest = pairs.join(parts, "x").select("x", part, "y").join(texts.withColumnRenamed("rep", "y"), "y").select("x", "part", F.lit(1).alias("follows"), "y", "text")
+    rows = heads.unionByName(rest).repartition("x", "part").sortWithinPartitions("x", "part", "follows")
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+        hashes, head, own = WordHashes(), None, np.empty(0, np.uint64)
         for b in batches:
-            keep = []
-            for s, t in zip(b.column(2), b.column(3)):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch(out, [b.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)])
+            found = []
+            for x, follows, y, text in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                s = shingle_set(text, width, hashes)
+                if not follows:
+                    head, own = x, s
+                elif x == head:
+                    both = len(np.intersect1d(s, own, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(own) - both):
+                        found.append((x, y))
+            yield batch(out, [list(c) for c in zip(*found)] or [[], []])
 
-    full = table(texts.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
-    both = pairs.join(full.select(F.col("doc_id").alias("y"), F.col("shingles").alias("t")), "y").join(full.select(F.col("doc_id").alias("x"), F.col("shingles").alias("s")), "x")
-    return both.select("x", "y", "s", "t").mapInArrow(compared, "x long, y long")
+    return rows.mapInArrow(compared, "x long, y long")
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of documents: doc_id, n_shingles, component_id, kept.
+def in_blocks(members: DataFrame, sizes: str, columns: list[str]) -> DataFrame:
+    """Members (key, outside, rep, ...) dealt to groups (key, block, other): each block of a key's members with each block of
+    those outside its largest component. `other` rows (probe = 1) are of those outside. No group holds more than about BLOCK members
+    of either kind, or SHINGLES shingles by the column `sizes`."""
+    pieces = lambda of, which: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, 1)) / BLOCK), F.ceil(F.sum(F.when(which, F.col(of))) / SHINGLES)).cast("int")
+    of = members.groupBy("key").agg(pieces(sizes, F.lit(True)).alias("blocks"), pieces(sizes, F.col("outside")).alias("others"), F.count_if("outside").alias("n_out")).where("n_out > 0").drop("n_out")
+    placed = members.join(of, "key")
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    whole = placed.select("key", at("blocks").alias("block"), F.explode(every("others")).alias("other"), F.lit(0).alias("probe"), *columns)
+    outside = placed.where("outside").select("key", F.explode(every("blocks")).alias("block"), at("others").alias("other"), F.lit(1).alias("probe"), *columns)
+    return whole.unionByName(outside).repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
 
-    Documents whose sets of `width`-word shingles have 100 * intersection >= percent * union are linked;
-    component_id is the smallest id that links reach. A text that is null or without words has no shingle and
-    no link, nor has a row of null id. Rows that repeat an id count as one document with that id for links (of
-    unequal texts, one stands for it in verification).
 
-    Equal sets are one class with one representative. Representatives are banded; what shares no bucket is done with.
-    In each bucket all are compared with its most central member, which shares the most buckets' worth of others, so a
-    group of any number of copies costs a pair each. In buckets that still hold several components, members outside
-    the largest are met with those of other components (a pair within one would add nothing): first each with the
-    likeliest of each component, then, where components still differ, with all. Pairs pass sizes and bits of the
-    sketches, then full sets decide.
+def sides(group: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The probes and the block of a group of in_blocks()."""
+    probe = group.column("probe").to_numpy() == 1
+    return group.filter(pa.array(probe)), group.filter(pa.array(~probe))
+
+
+def lists(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def worth_comparing(members: DataFrame, percent: int, bands: int) -> DataFrame:
+    """(key, rep) of the members (key, outside, rep, component, n, bits, keys) of open buckets that are in a likely pair between components, of which one is outside the largest.
+
+    A pair counts in the first bucket that it shares only. Sketches meet within a task; what leaves it are members, not pairs.
+    """
+    most = most_differing(percent)
+    out = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in in_groups(batches, 3):
+            p, q = sides(group)
+            if not p.num_rows or not q.num_rows:
+                continue
+            prep, qrep, pc, qc, pn, qn = (t.column(c).to_numpy() for c in ("rep", "component", "n") for t in (p, q))
+            fine = (pc[:, None] != qc[None, :]) & (np.minimum(pn[:, None], qn[None, :]) * 100 >= np.maximum(pn[:, None], qn[None, :]) * percent)
+            if not fine.any():
+                continue
+            pb, qb = lists(p.column("bits"), BITS), lists(q.column("bits"), BITS)
+            differ = np.zeros(fine.shape, np.int16)
+            for k in range(BITS):
+                differ += np.bitwise_count(pb[:, None, k] ^ qb[None, :, k])
+            i, j = np.nonzero(fine & (differ <= most))
+            if not len(i):
+                continue
+            pk, qk = lists(p.column("keys"), bands), lists(q.column("keys"), bands)
+            key, hot = group.column("key")[0].as_py(), np.zeros(len(i), bool)
+            for at in range(0, len(i), 8192):
+                some = slice(at, at + 8192)
+                same = pk[i[some]] == qk[j[some]]
+                hot[some] = pk[i[some], same.argmax(axis=1)] == key
+            found = np.union1d(prep[i[hot]], qrep[j[hot]])
+            if len(found):
+                yield batch(out, [pa.array(np.full(len(found), key)), pa.array(found)])
+
+    columns = ["rep", "component", "n", "bits", "keys"]
+    return in_blocks(members, "one", columns).mapInArrow(met, "key long, rep long").distinct()
+
+
+def shared_sizes(p: list[np.ndarray], q: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of p with each of q, by products of incidence matrices, `columns` shingles at a time."""
+    both = np.zeros((len(p), len(q)), np.int64)
+    kinds = np.intersect1d(np.unique(np.concatenate(p)), np.unique(np.concatenate(q)), assume_unique=True)
+    rows = lambda sets: np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    pr, qr, pv, qv = rows(p), rows(q), np.concatenate(p), np.concatenate(q)
+    place = lambda v: np.searchsorted(kinds, v).clip(max=max(0, len(kinds) - 1))
+    if not len(kinds):
+        return both
+    pp, qp = place(pv), place(qv)
+    pok, qok = kinds[pp] == pv, kinds[qp] == qv
+    pr, pp, qr, qp = pr[pok], pp[pok], qr[qok], qp[qok]
+    for at in range(0, len(kinds), columns):
+        n = min(columns, len(kinds) - at)
+        a, b = np.zeros((len(p), n), np.float32), np.zeros((len(q), n), np.float32)
+        i, j = (pp >= at) & (pp < at + n), (qp >= at) & (qp < at + n)
+        a[pr[i], pp[i] - at] = 1
+        b[qr[j], qp[j] - at] = 1
+        both += (a @ b.T).astype(np.int64)
+    return both
+
+
+def linked_in_blocks(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (x, y) between components of members (key, outside, rep, component, n, text) of open buckets: of all pairs of full sets
+    that meet the threshold, in each task as many as join the same components."""
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for group in in_groups(batches, 3):
+            p, q = sides(group)
+            if not p.num_rows or not q.num_rows:
+                continue
+            prep, qrep, pc, qc = (t.column(c).to_numpy() for c in ("rep", "component") for t in (p, q))
+            if len(np.union1d(pc, qc)) < 2:
+                continue
+            ps, qs = ([shingle_set(x, width, hashes) for x in t.column("text").to_pylist()] for t in (p, q))
+            both = shared_sizes(ps, qs)
+            union = np.array([len(s) for s in ps])[:, None] + np.array([len(s) for s in qs])[None, :] - both
+            i, j = np.nonzero((100 * both >= percent * union) & (pc[:, None] != qc[None, :]))
+            above: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in above:
+                    c = above[c]
+                return c
+
+            found = []
+            for a, b in zip(i.tolist(), j.tolist()):
+                x, y = top(int(pc[a])), top(int(qc[b]))
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    found.append((int(max(prep[a], qrep[b])), int(min(prep[a], qrep[b]))))
+            if found:
+                yield batch(out, [list(c) for c in zip(*found)])
+
+    return in_blocks(members, "n", ["rep", "component", "text"]).mapInArrow(met, "x long, y long")
+
+
+def classes_of(known: DataFrame) -> DataFrame:
+    """One row per set among rows of sketched() that have an id and a word: fingerprint, rep, doc_id, text_hash, n, keys, bits.
+
+    doc_id and text_hash name the row that stands for the class, with the smallest id. rep is that id too, and another number
+    where rows of one id would stand for several classes.
+    """
+    own = known.where("doc_id IS NOT NULL AND n_shingles > 0")
+    reps = own.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "keys", "bits")).alias("s"))
+    reps = table(reps.select("fingerprint", "s.doc_id", "s.text_hash", F.col("s.n_shingles").alias("n"), "s.keys", "s.bits"), "classes")
+    again = table(reps.groupBy("doc_id").agg(F.count("*").alias("of"), F.min("fingerprint").alias("first")).where("of > 1").select("doc_id", "first"), "again")
+    if again.isEmpty():
+        return reps.withColumn("rep", F.col("doc_id"))
+    other = F.xxhash64("fingerprint").bitwiseAND((1 << 62) - 1) + (1 << 62)
+    told = reps.join(again, "doc_id", "left").withColumn("rep", F.when(F.col("first").isNull() | (F.col("first") == F.col("fingerprint")), F.col("doc_id")).otherwise(other))
+    return told.drop("first")
+
+
+def grouped(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of documents: doc_id, text_hash (xxhash64 of the text), n_shingles, group, component_id.
+
+    group numbers the component that a row's own set belongs to, null without a set or an id; component_id is the smallest id
+    in it, or the row's id where group is null. See near_duplicates().
     """
     bands, rows = band_shape(percent)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     known = table(sketched(docs, width, bands, rows), "sketches")
-    lasting = known.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = lasting.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "bits")).alias("s"))
-    reps = table(reps.select("fingerprint", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.keys", "s.bits"), "classes")
+    reps = classes_of(known)
     members = reps.select(F.explode("keys").alias("key"), "rep")
     shared = members.groupBy("key").agg(F.count("*").alias("of")).where("of > 1")
     live = table(members.join(shared, "key"), "live")
     marks = table(reps.select("rep", "n", "bits").join(live.groupBy("rep").agg(F.sum("of").alias("central")), "rep"), "marks")
 
-    def marked(pairs: DataFrame) -> DataFrame:
-        as_x, as_y = (marks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("rep", "n", "bits"))).withColumnRenamed(f"{p}_rep", p) for p in "xy")
-        return pairs.join(as_x, "x").join(as_y, "y")
-
-    def labels(links: DataFrame) -> DataFrame:
-        return components(links, "x", "y").select(F.col("id").alias("rep"), "component")
-
     central = F.max(F.struct(F.col("central"), (-F.col("rep")).alias("minus"))).alias("lead")
     leads = live.join(marks.select("rep", "central"), "rep").groupBy("key").agg(central).select("key", (-F.col("lead.minus")).alias("lead"))
-    star = live.join(leads, "key").where("rep <> lead").select(F.greatest("rep", "lead").alias("x"), F.least("rep", "lead").alias("y")).distinct()
-    star = table(star, "star")
-    links = table(verified(table(marked(star).where(likely(percent)).select("x", "y"), "pairs"), docs, width, percent), "links")
-
+    star = live.join(leads, "key").where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y")).distinct()
+    as_x, as_y = (marks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("rep", "n", "bits"))).withColumnRenamed(f"{p}_rep", p) for p in "xy")
+    star = table(star.join(as_x, "x").join(as_y, "y").where(likely(percent)).select("x", "y"), "pairs")
+    texts = texts_of(table(star.select("x").union(star.select("y")).distinct().toDF("rep"), "wanted"), reps, docs)
+    links = table(verified(star, texts, width, percent), "links")
+    dropped(texts, star)
+
+    labels = lambda links: components(links, "x", "y").select(F.col("id").alias("rep"), "component")
     labelled = live.join(labels(links), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     shares = labelled.groupBy("key", "component").agg(F.count("*").alias("of"))
     several = shares.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("of", "component")).alias("most")).where("several > 1").select("key", F.col("most.component").alias("largest"))
-    open_ = table(labelled.join(several, "key").join(reps.select("rep", "n", "bits", "keys"), "rep"), "open")
-    sides = ("rep", "component", "n", "bits", "keys")
-    left = open_.where("component <> largest").select("key", *(F.col(c).alias(f"x_{c}") for c in sides))
-    right = open_.select(F.col("key").alias("y_key"), "largest", *(F.col(c).alias(f"y_{c}") for c in sides))
-    same = F.filter(F.zip_with("x_keys", "y_keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())
-    across = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("largest")) | (F.col("x_rep") < F.col("y_rep")))
-    once = F.get(same, F.lit(0)) == F.col("key")  # a pair in several open buckets is met in the first that it shares
-    more = left.join(right, (F.col("key") == F.col("y_key")) & across & likely(percent) & once).select("x_rep", "y_rep", "y_component", differing().alias("differ")).distinct()
-    more = more.select(F.greatest("x_rep", "y_rep").alias("x"), F.least("x_rep", "y_rep").alias("y"), F.col("x_rep").alias("from"), F.col("y_component").alias("into"), "differ")
-    more = table(more.join(star, ["x", "y"], "left_anti"), "more")
-    best = table(more.groupBy("from", "into").agg(F.min(F.struct("differ", "x", "y")).alias("p")).select("p.x", "p.y").distinct(), "best")
-    links = table(links.union(verified(best, docs, width, percent)), "links")
-
-    now = labels(links)
-    label_of = lambda p: now.select(F.col("rep").alias(p), F.col("component").alias(f"{p}_component"))
-    rest = more.select("x", "y").distinct().join(best, ["x", "y"], "left_anti").join(label_of("x"), "x", "left").join(label_of("y"), "y", "left")
-    rest = rest.where(F.coalesce("x_component", "x") != F.coalesce("y_component", "y")).select("x", "y")
-    links = links.union(verified(table(rest, "rest"), docs, width, percent))
-
-    classes = reps.select("fingerprint", "rep").join(labels(links), "rep", "left")
-    classes = classes.select("fingerprint", F.coalesce("component", "rep").alias("component"))
-    found = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fingerprint")).alias("fingerprint"))
-    found = found.join(classes, "fingerprint", "left")
-    component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    open_ = table(labelled.join(several, "key").select("key", "rep", "component", (F.col("component") != F.col("largest")).alias("outside")), "open")
+    dropped(live, marks)
+    near = table(worth_comparing(open_.join(reps.select("rep", "n", "bits", "keys"), "rep").withColumn("one", F.lit(1)), percent, bands), "near")
+    texts = texts_of(table(near.select("rep").distinct(), "wanted"), reps, docs)
+    both = near.join(open_, ["key", "rep"]).join(reps.select("rep", "n"), "rep").join(texts, "rep")
+    links = links.union(table(linked_in_blocks(both, width, percent), "more"))
+    found = labels(links)
+    dropped(texts, open_, near)
+
+    classes = reps.select("fingerprint", "rep", "doc_id").join(found, "rep", "left").select("fingerprint", "doc_id", F.coalesce("component", "rep").alias("group"))
+    least = classes.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    classes = classes.select("fingerprint", "group").join(least, "group")
+    rows_ = known.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fingerprint")).alias("fingerprint"))
+    return rows_.join(classes, "fingerprint", "left").select("doc_id", "text_hash", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of documents: doc_id, n_shingles, component_id, kept.
+
+    Documents whose sets of `width`-word shingles have 100 * intersection >= percent * union are linked;
+    component_id is the smallest id that links reach, and kept says that it is the row's own. A text that is null or without
+    words has no shingle and no link, nor has a row of null id; each is kept. Rows that repeat an id are documents of their own,
+    each with its own set; equal rows have equal results. Texts of any length are read whole; an empty table gives no
+    rows; other columns, whatever their names, aren't looked at.
+
+    Equal sets are one class with one representative. Representatives are banded; what shares no bucket is done with.
+    In each bucket all are compared with its most central member, which shares the most buckets' worth of others, so a
+    group of any number of copies costs a pair each. In buckets that still hold several components, members outside
+    the largest are met with those of other components (a pair within one would add nothing): first sketches, then
+    the full sets of those in a likely pair, both in blocks of one task each, from which members and joining links come, never
+    pairs. Sizes and sketch bits only rule out; full sets decide.
+    """
+    found = grouped(documents, width, percent, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
