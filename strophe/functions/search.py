@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -33,38 +37,61 @@ def common_subsequence(a: str, b: str) -> int:
     return rises.bit_count()
 
 
-def gapped(text: str, needle: str, low: int, high: int, most: int = 6) -> tuple[int, int] | None:
-    """First place in [low, high) where the needle's first two characters stand together and each later one follows
-    within `most` characters of the one before; needles of three characters at least."""
-    if len(needle) < 3:
+#: How many characters may stand between two that follow one another, and the character that stands for any.
+MOST_BETWEEN, ANY = 6, "等"
+
+
+@lru_cache(4096)
+def loose(needle: str) -> re.Pattern | None:
+    """The needle's characters with at most MOST_BETWEEN others before each but the first two, which stand together; ANY is
+    left out. None for fewer than three characters.
+
+    What stands between can't be the character that is waited for, so each is met at its first place and nothing is tried
+    twice.
+    """
+    chars = [re.escape(c) for c in needle if c != ANY]
+    if len(chars) < 3:
         return None
-    start = text.find(needle[:2], low, high)
-    while start >= 0:
-        at = start + 2
-        for ch in needle[2:]:
-            at = text.find(ch, at, min(high, at + most + 1)) + 1
-            if not at:
-                break
-        else:
-            return start, at
-        start = text.find(needle[:2], start + 1, high)
-    return None
+    return re.compile(chars[0] + chars[1] + "".join(rf"[^{c}]{{0,{MOST_BETWEEN}}}{c}" for c in chars[2:]), re.DOTALL)
+
+
+def bare(text: str) -> tuple[str, list[int]]:
+    """The text without punctuation, white space and controls, and where each character left stood."""
+    kept = [(c, i) for i, c in enumerate(text) if unicodedata.category(c)[0] not in "PZ" and unicodedata.category(c) not in ("Cc", "Cf")]
+    return "".join(c for c, _ in kept), [i for _, i in kept]
+
+
+def longest_part(text: str, needle: str, least: int, part) -> tuple[int, int] | None:
+    """Place of the longest part(k) of the needle, least <= k < its length, in the text: where one is found, so are all
+    shorter ones, so the length is bisected."""
+    low, high = least - 1, len(needle) - 1
+    while low < high:
+        k = (low + high + 1) // 2
+        low, high = (k, high) if part(k) in text else (low, k - 1)
+    if low < least:
+        return None
+    at = text.find(part(low))
+    return at, at + low
 
 
 def staged(text: str | None, needle: str | None, least: int = 4) -> tuple[str, int, int] | None:
-    """(method, start, end): the needle whole, else gapped, else its longest suffix, else prefix, of `least` at least."""
-    if not text or not needle:
+    """(method, start, end) of the needle, punctuation on both sides left out: whole, else with gaps, else its longest suffix
+    of `least` characters at least, else such a prefix. Offsets are the whole text's."""
+    hay, keep = bare(text or "")
+    part, _ = bare(needle or "")
+    if not part:
         return None
-    at = text.find(needle)
-    if at >= 0:
-        return "whole", at, at + len(needle)
-    if found := gapped(text, needle, 0, len(text)):
-        return "gapped", *found
-    for method, part in (("suffix", lambda k: needle[-k:]), ("prefix", lambda k: needle[:k])):
-        for k in range(len(needle) - 1, least - 1, -1):
-            at = text.find(part(k))
-            if at >= 0:
-                return method, at, at + k
+    pattern = loose(part)
+    tries = {
+        "whole": lambda: re.search(re.escape(part), hay),
+        "gapped": lambda: pattern and pattern.search(hay),
+        "suffix": lambda: longest_part(hay, part, least, lambda k: part[-k:]),
+        "prefix": lambda: longest_part(hay, part, least, lambda k: part[:k]),
+    }
+    for method, attempt in tries.items():
+        if found := attempt():
+            start, end = found if isinstance(found, tuple) else found.span()
+            return method, keep[start], keep[end - 1] + 1
     return None
 
 

@@ -33,25 +33,34 @@ def characters(text: Column) -> Column:
 
 
 def label_similarity(x: Column, label: Column) -> Column:
-    """1 if equal; if one contains the other, 0.9 where the shorter is at least half as long and 0.6 where not (a label
-    of one character: 0.9 at either end only); else the share of the label's distinct characters that x has."""
+    """0 if either is empty, 1 if equal; a label of one character: 0.9 at either end of x, else 0; if one contains the
+    other, 0.9 where the shorter is at least half as long and 0.6 where not; else the share of the label's distinct
+    characters that x has."""
     short, long = F.least(F.length(x), F.length(label)), F.greatest(F.length(x), F.length(label))
-    inside = F.contains(x, label) | F.contains(label, x)
-    one = F.length(label) == 1
-    at_end = F.startswith(x, label) | F.endswith(x, label)
     kinds = F.array_distinct(characters(label))
     share = F.try_divide(F.size(F.array_intersect(characters(x), kinds)), F.size(kinds))
     return (
-        F.when(x == label, 1.0)
-        .when(inside & one, F.when(at_end, 0.9).otherwise(0.6))
-        .when(inside & (short > 0), F.when(short * 2 >= long, 0.9).otherwise(0.6))
-        .otherwise(F.coalesce(share, F.lit(0.0)))
+        F.when(short == 0, 0.0)
+        .when(x == label, 1.0)
+        .when(F.length(label) == 1, F.when(F.startswith(x, label) | F.endswith(x, label), 0.9).otherwise(0.0))
+        .when(F.contains(x, label) | F.contains(label, x), F.when(short * 2 >= long, 0.9).otherwise(0.6))
+        .otherwise(share)
     )
 
 
+def similarity(x: str, label: str) -> float:
+    """label_similarity() of two strings."""
+    if "" in (x, label):
+        return 0.0
+    ends, holds = {x[0], x[-1]}, x in label or label in x
+    halved = max(len(x), len(label)) <= 2 * min(len(x), len(label))
+    rules = [(x == label, 1.0), (len(label) == 1, 0.9 if label in ends else 0.0), (holds, 0.9 if halved else 0.6)]
+    return next((score for true, score in rules if true), len(set(label).intersection(x)) / len(set(label)))
+
+
 def subsequence(x: Column, label: Column) -> Column:
-    """x holds the label's characters in order."""
-    return F.aggregate(characters(x), F.length(label) * 0, lambda k, c: F.when(c == F.substring(label, k + 1, F.lit(1)), k + 1).otherwise(k)) == F.length(label)
+    """The label holds the characters of x, which isn't empty, in order."""
+    return (F.length(x) > 0) & (F.aggregate(characters(label), F.length(x) * 0, lambda k, c: F.when(c == F.substring(x, k + 1, F.lit(1)), k + 1).otherwise(k)) == F.length(x))
 
 
 def title_name(heading: Column) -> Column:

@@ -14,6 +14,8 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.text import similarity
+
 #: The numerals' digits, the words that announce, divide, open and end a part.
 DIGITS = "一二三四五六七八九"
 UNITS = "段門科義種節意分章"
@@ -89,21 +91,13 @@ def judged(statement: dict, later: list[dict]) -> tuple[int, list[str]]:
     terms = [
         (2, "all labels listed", n is not None and len(labels) == n),
         (-1, "labels missing", bool(labels) and len(labels) != n),
-        (2, "a label is taken up", any(similar(s["subject"], x) >= 0.6 for s in entered for x in labels)),
+        (2, "a label is taken up", any(similarity(s["subject"], x) >= 0.6 for s in entered for x in labels)),
         (1, "ordinals follow", any(s["ordinal"] == 1 for s in entered)),
         (-2, "nothing follows", not entered),
     ]
     return sum(p for p, _, true in terms if true), [why for _, why, true in terms if true]
 
 
-def similar(x: str, label: str) -> float:
-    if x == label:
-        return 1.0
-    if x and label and (x in label or label in x):
-        return 0.9 if 2 * min(len(x), len(label)) >= max(len(x), len(label)) else 0.6
-    return len(set(x) & set(label)) / len(set(label)) if label else 0.0
-
-
 def build(statements: list[dict], margin: int = 1) -> list[dict]:
     """Nodes from statements: a cursor walks the tree that announcements open and entries move through.
 
@@ -124,10 +118,10 @@ def build(statements: list[dict], margin: int = 1) -> list[dict]:
         own = kids.get(parent, [])
         if ordinal and ordinal <= len(own):
             child = own[ordinal - 1]
-            if not subject or not nodes[child]["heading"] or similar(subject, nodes[child]["heading"]) > 0 or nodes[child]["char_start"] is None:
+            if not subject or not nodes[child]["heading"] or similarity(subject, nodes[child]["heading"]) > 0 or nodes[child]["char_start"] is None:
                 return child
-        best = max(own, key=lambda c: similar(subject, nodes[c]["heading"]), default=None)
-        return best if best is not None and similar(subject, nodes[best]["heading"]) >= 0.6 else None
+        best = max(own, key=lambda c: similarity(subject, nodes[c]["heading"]), default=None)
+        return best if best is not None and similarity(subject, nodes[best]["heading"]) >= 0.6 else None
 
     for at, s in enumerate(statements):
         if s["kind"] == "announce" and s["count"]:

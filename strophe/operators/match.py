@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,61 +11,58 @@ from pyspark.sql import types as t
 PAIRS = "tree string, pred_id string, gold_id string"
 
 
-def align(near: dict[tuple[int, int], tuple[int, int]], n: int, m: int) -> list[tuple[int, int]]:
+def align(near: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs, increasing on both sides, of the allowed ones (with distance and index difference): the most pairs, then
-    the least distance, then the least index difference; among equals the earliest pair on both sides is taken.
+    the least distance, then the least index difference, then the smallest first pair, and so on.
 
-    A table of the best value of each pair of suffixes is filled backwards, one row of gold at a time.
+    A weighted chain over the allowed pairs alone: taken from the last row up, each is followed by the best chain that starts in a later
+    row and column. `starts` is a Fenwick tree over the columns from the right, so a pair costs a logarithm.
     """
-    rows = [[(0, 0, 0)] * (m + 1)]
-    for i in reversed(range(n)):
-        after, row = rows[-1], [(0, 0, 0)]
-        for j in reversed(range(m)):
-            options = [after[j], row[-1]]
-            if cost := near.get((i, j)):
-                k, d, x = after[j + 1]
-                options.append((k + 1, d - cost[0], x - cost[1]))
-            row.append(max(options))
-        rows.append(row[::-1])
-    rows.reverse()
-    pairs, i, j = [], 0, 0
-    while i < n and j < m:
-        here, cost = rows[i][j], near.get((i, j))
-        if cost and here == tuple(a + b for a, b in zip(rows[i + 1][j + 1], (1, -cost[0], -cost[1]))):
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif here == rows[i][j + 1]:
-            j += 1
-        else:
-            i += 1
+    rows: dict[int, list[int]] = {}
+    for i, j in near:
+        rows.setdefault(i, []).append(j)
+    wide = max((j for _, j in near), default=-1) + 1
+    nothing = (0, 0, 0, 0, 0, None)
+    starts = [nothing] * (wide + 1)
+
+    def best_after(j: int) -> tuple:
+        at, best = wide - 1 - j, nothing
+        while at > 0:
+            best, at = max(best, starts[at], key=lambda c: c[:5]), at & (at - 1)
+        return best
+
+    for i in sorted(rows, reverse=True):
+        chains = []
+        for j in rows[i]:
+            n, distance, apart, _, _, _ = after = best_after(j)
+            chains.append((n + 1, distance - near[i, j][0], apart - near[i, j][1], -i, -j, after))
+        for chain in chains:
+            at = wide + chain[4]
+            while at <= wide:
+                starts[at], at = max(starts[at], chain, key=lambda c: c[:5]), at + (at & -at)
+    chain, pairs = best_after(-1), []
+    while chain[5] is not None:
+        pairs.append((-chain[3], -chain[4]))
+        chain = chain[5]
     return pairs
 
 
 def match_trees(pred: pd.DataFrame, gold: pd.DataFrame, tolerance: int) -> list[tuple[str, str]]:
     """Children are aligned under matched parents only; a key further than `tolerance` lines, or none, never matches."""
-
-    def below(nodes: pd.DataFrame) -> dict:
-        kids: dict = {}
-        for r in nodes.sort_values(["line", "order"], kind="stable").itertuples():
-            own = kids.setdefault(None if pd.isna(r.parent) else r.parent, [])
-            own.append((r.id, r.line, len(own)))
-        return kids
-
-    p_kids, g_kids, found, todo = below(pred), below(gold), [], [(None, None)]
-    while todo:
-        p, g = todo.pop()
-        a, b = p_kids.get(p, []), g_kids.get(g, [])
-        near, at = {}, {}
-        for j, (_, y, h) in enumerate(b):
-            if not pd.isna(y):
-                at.setdefault(int(y), []).append((j, h))
-        for i, (_, x, k) in enumerate(a):
-            for d in range(-tolerance, tolerance + 1) if not pd.isna(x) else ():
-                for j, h in at.get(int(x) + d, ()):
-                    near[i, j] = (abs(d), abs(k - h))
-        for i, j in align(near, len(a), len(b)):
-            found.append((a[i][0], b[j][0]))
-            todo.append(found[-1])
+    sides = []
+    for nodes in (pred, gold):
+        kept = nodes.sort_values(["line", "order"], kind="stable")
+        above = kept["parent"].where(kept["parent"].notna(), "")
+        sides.append({p: (own["id"].tolist(), own["line"].to_numpy(float)) for p, own in kept.groupby(above, sort=False)})
+    found, front = [], [("", "")]
+    for above in front:  # grows as pairs are found
+        (ids, lines), (gold_ids, gold_lines) = (side.get(p, ([], np.empty(0))) for side, p in zip(sides, above))
+        low = np.searchsorted(gold_lines, lines - tolerance)  # nulls are last, and beyond every number
+        high = np.searchsorted(gold_lines, lines + tolerance, side="right")
+        near = {(i, j): (abs(int(lines[i] - gold_lines[j])), abs(i - j)) for i in range(len(ids)) if lines[i] == lines[i] for j in range(low[i], high[i])}
+        new = [(ids[i], gold_ids[j]) for i, j in align(near)]
+        found += new
+        front += new
     return found
 
 
@@ -108,6 +106,24 @@ def longest_chain(values: list) -> list[int]:
     return chain[::-1]
 
 
+def skeleton(candidates: list[list[int]]) -> list[int | None]:
+    """For each leaf the place taken of its candidates, or None: a longest chain of strictly increasing places, one a leaf
+    at most. A leaf's candidates are tried from the last to the first, so none follows another of its own."""
+    from bisect import bisect_left
+
+    tops: list[int] = []
+    held: list[tuple] = []  # (leaf, place, what comes before)
+    for leaf, places in enumerate(candidates):
+        for place in sorted(set(places), reverse=True):
+            k = bisect_left(tops, place)
+            tops[k : k + 1], held[k : k + 1] = [place], [(leaf, place, held[k - 1] if k else None)]
+    taken: list[int | None] = [None] * len(candidates)
+    at = held[-1] if held else None
+    while at:
+        leaf, taken[leaf], at = at[0], at[1], at[2]
+    return taken
+
+
 @F.pandas_udf(t.ArrayType(t.BooleanType()))
 def in_chain(values: pd.Series) -> pd.Series:
     """Of arrays of values: which are in the longest_chain()."""

@@ -111,14 +111,16 @@ def find_hits_ignore_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS x, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
     l AS (SELECT DISTINCT a AS label FROM n UNION SELECT DISTINCT b FROM n)
-    SELECT x, label, round(CASE WHEN x = label THEN 1.0
-        WHEN (contains(x, label) OR contains(label, x)) AND length(label) = 1 THEN CASE WHEN starts_with(x, label) OR ends_with(x, label) THEN 0.9 ELSE 0.6 END
-        WHEN (contains(x, label) OR contains(label, x)) AND least(length(x), length(label)) > 0 THEN CASE WHEN 2 * least(length(x), length(label)) >= greatest(length(x), length(label)) THEN 0.9 ELSE 0.6 END
-        ELSE coalesce(CAST(len(list_filter(list_distinct(string_split(label, '')), lambda c: contains(x, c))) AS DOUBLE) / len(list_distinct(string_split(label, ''))), 0) END, 6) AS sim FROM n, l""")
+    SELECT x, label, round(CASE WHEN x = '' OR label = '' THEN 0.0 WHEN x = label THEN 1.0
+        WHEN length(label) = 1 THEN CASE WHEN starts_with(x, label) OR ends_with(x, label) THEN 0.9 ELSE 0.0 END
+        WHEN contains(x, label) OR contains(label, x) THEN CASE WHEN 2 * least(length(x), length(label)) >= greatest(length(x), length(label)) THEN 0.9 ELSE 0.6 END
+        ELSE coalesce(CAST(len(list_filter(list_distinct(string_split(label, '')), lambda c: contains(x, c))) AS DOUBLE) / len(list_distinct(string_split(label, ''))), 0) END, 6) AS sim FROM n JOIN l ON left(label, 1) IN (left(a, 1), left(b, 1))""")
 def label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names against the words of all names that begin with the same letter as one of their own words."""
     names = load(spark, sf_dir, "part").select(F.col("p_name").alias("x")).distinct()
-    labels = names.select(F.explode(F.split("x", " ")).alias("label")).distinct()
-    pairs = names.join(F.broadcast(labels), F.lit(True))  # a rule table: the words of the names
+    labels = names.select(F.explode(F.split("x", " ")).alias("label")).distinct().withColumn("initial", F.substring("label", 1, 1))
+    initials = names.select("x", F.explode(F.array_distinct(F.transform(F.split("x", " "), lambda w: F.substring(w, 1, 1)))).alias("initial"))
+    pairs = initials.join(labels, "initial")
     return pairs.select("x", "label", F.round(T.label_similarity(F.col("x"), F.col("label")), 6).alias("sim"))
 
 

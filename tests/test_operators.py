@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strophe.functions import search
 from strophe.functions import text as T
 from strophe.operators import formula, graph, intervals, match, measure, segment, tree
 from strophe.sources import markup
@@ -27,9 +28,48 @@ def test_numerals_round_trip(spark):
 
 
 def test_label_similarity_and_subsequence(spark):
-    pairs = [("ab", "ab"), ("abc", "ab"), ("abcdef", "a"), ("xay", "a"), ("abcdefgh", "cd"), ("axbyc", "abq"), ("", "ab")]
-    assert values(spark, T.label_similarity(F.col("x"), F.col("y")), pairs) == pytest.approx([1, 0.9, 0.9, 0.6, 0.6, 2 / 3, 0])
-    assert values(spark, T.subsequence(F.col("x"), F.col("y")), [("axbyc", "abc"), ("abc", "ca"), ("x", "")]) == [True, False, True]
+    pairs = [("ab", "ab"), ("abc", "ab"), ("abcdef", "a"), ("xay", "a"), ("abcdefgh", "cd"), ("axbyc", "abq"), ("", "ab"), ("", ""), ("b", "a"), ("a", "a")]
+    wanted = [1, 0.9, 0.9, 0, 0.6, 2 / 3, 0, 0, 0, 1]
+    assert values(spark, T.label_similarity(F.col("x"), F.col("y")), pairs) == pytest.approx(wanted)
+    assert [T.similarity(x, y) for x, y in pairs] == pytest.approx(wanted)
+    assert values(spark, T.subsequence(F.col("x"), F.col("y")), [("abc", "axbyc"), ("ca", "abc"), ("", "x"), ("x", "")]) == [True, False, False, False]
+
+
+def test_staged_search_leaves_punctuation_out():
+    assert search.staged("ab, cd ef gh", "bcd") == ("whole", 1, 6)
+    assert search.staged("xx abyyyycyyd", "ab cd") == ("gapped", 3, 13)
+    assert search.staged("abyyyyyyyc", "abc") is None and search.staged("axxb", "") is None
+    assert search.staged("qq cdefg", "abcdefg") == ("suffix", 3, 8) and search.staged("abcde zz", "abcdexy") == ("prefix", 0, 5)
+    assert search.staged("無量諸天發心", "無量等發心") == ("gapped", 0, 6)
+    r = random.Random(4)
+    for _ in range(200):
+        hay, needle = ("".join(r.choice("abcd") for _ in range(n)) for n in (14, 4))
+        first = None
+        for s in range(len(hay)):
+            if hay[s : s + 2] == needle[:2] and first is None:
+                at = s + 2
+                for c in needle[2:]:
+                    k = hay.find(c, at, at + 7)
+                    if k < 0:
+                        break
+                    at = k + 1
+                else:
+                    first = (s, at)
+        found = search.loose(needle).search(hay)
+        assert (found and found.span()) == first
+
+
+def test_skeleton_takes_one_strictly_rising_place_a_leaf():
+    from itertools import product
+
+    r = random.Random(5)
+    for _ in range(80):
+        leaves = [[r.randrange(6) for _ in range(r.randrange(4))] for _ in range(5)]
+        taken = match.skeleton(leaves)
+        places = [x for x in taken if x is not None]
+        assert all(a < b for a, b in zip(places, places[1:])) and all(x is None or x in own for x, own in zip(taken, leaves))
+        chosen = ([x for x in choice if x is not None] for choice in product(*([None, *own] for own in leaves)))
+        assert len(places) == max(len(c) for c in chosen if all(a < b for a, b in zip(c, c[1:])))
 
 
 def test_balanced_windows_even_out(spark):
@@ -105,7 +145,7 @@ def test_alignment_against_all_choices():
                     options.append((k[0] + 1, k[1] - d, k[2] - x))
             return max(options)
 
-        pairs = match.align(near, n, m)
+        pairs = match.align(near)
         assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
         assert (len(pairs), -sum(near[p][0] for p in pairs), -sum(near[p][1] for p in pairs)) == best(0, 0)
 
