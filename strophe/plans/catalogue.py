@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import outlines, relations, structures, texts
+from . import outlines, records, relations, structures, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | relations.QUERIES | structures.QUERIES | outlines.QUERIES
-ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | relations.ORACLE_SQL | structures.ORACLE_SQL | outlines.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | relations.QUERIES | structures.QUERIES | outlines.QUERIES | records.QUERIES
+ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | relations.ORACLE_SQL | structures.ORACLE_SQL | outlines.ORACLE_SQL | records.ORACLE_SQL
