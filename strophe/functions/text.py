@@ -17,15 +17,18 @@ def strip_punct(text: Column) -> Column:
 
 def kept_positions(text: Column) -> Column:
     """0-based code-point offsets of the characters that strip_punct keeps: maps stripped offsets back."""
-    at = F.sequence(F.lit(0), F.length(text) - 1)
-    return F.when(F.length(text) > 0, F.filter(at, lambda i: ~F.substring(text, i + 1, F.lit(1)).rlike(PUNCT))).otherwise(F.array().cast("array<int>"))
+    marked = F.transform(characters(text), lambda c, i: F.when(~c.rlike(PUNCT), i))
+    return F.filter(marked, lambda i: i.isNotNull())
 
 
 def hits(text: Column, needle: Column) -> Column:
     """0-based offsets of all occurrences, overlapping ones too; none of an empty needle."""
-    starts = F.sequence(F.lit(0), F.length(text) - F.length(needle))
-    found = F.filter(starts, lambda i: F.substring(text, i + 1, F.length(needle)) == needle)
-    return F.when((F.length(needle) > 0) & (F.length(text) >= F.length(needle)), found).otherwise(F.array().cast("array<int>"))
+    from ..operators.segment import starts_of
+
+    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), needle, F.lit("\\E)")))  # each begins where the needle does, but perhaps the first
+    starts = starts_of(F.transform(pieces, lambda x: F.length(x).cast("bigint")))
+    found = F.filter(F.transform(starts, lambda s, i: F.when((i > 0) | F.startswith(text, needle), s.cast("int"))), lambda s: s.isNotNull())
+    return F.when(F.length(needle) > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def characters(text: Column) -> Column:

@@ -81,10 +81,18 @@ def backward_steps(rows: DataFrame, by: list[str], order: list[str], value: str)
     return rows.withColumn("greatest_before", F.max(value).over(w)).where(F.col(value) < F.col("greatest_before"))
 
 
-def spans_of(points: DataFrame, spans: DataFrame, by: list[str], at: str, default: str) -> DataFrame:
+def spans_of(points: DataFrame, spans: DataFrame, by: list[str], at: str, default: str, most: int = 1000) -> DataFrame:
     """Each point's `split` of the first listed span (ord) with start_incl <= at < end_excl (null: without end), else
-    the default. `spans` is a small rule table and is broadcast."""
-    s = F.broadcast(spans.select(*(F.col(c).alias(f"s_{c}") for c in by), "ord", "split", "start_incl", "end_excl"))
-    on = [F.col(c) == F.col(f"s_{c}") for c in by] + [F.col("start_incl") <= F.col(at), F.col("end_excl").isNull() | (F.col(at) < F.col("end_excl"))]
-    keyed = points.join(s, on, "left").groupBy(*points.columns).agg(F.min_by("split", "ord").alias("split"))
-    return keyed.withColumn("split", F.coalesce("split", F.lit(default)))
+    the default. `spans` is a rule table of at most `most` rows, which become one expression: no row is joined or grouped."""
+    rules = spans.orderBy("ord").limit(most + 1).collect()
+    if len(rules) > most:
+        raise ValueError(f"more than {most} spans: join them instead")
+    found = F.lit(default)
+    for r in reversed(rules):
+        test = F.col(at) >= r["start_incl"]
+        if r["end_excl"] is not None:
+            test = test & (F.col(at) < r["end_excl"])
+        for c in by:
+            test = test & F.col(c).eqNullSafe(F.lit(r[c]))
+        found = F.when(test, r["split"]).otherwise(found)
+    return points.withColumn("split", found)

@@ -12,12 +12,26 @@ def tally(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFram
 
 
 def nearest_rank(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
-    """Quantiles that are values of the data: the one at round-half-even(p * (n - 1)). One sort per group, and no group
-    is collected: rows are ranked, and those ranked as asked stay."""
+    """Quantiles that are values of the data: the one at round-half-even(p * (n - 1)). Rows are counted by value before
+    anything is sorted, so a group's task holds its distinct values only."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("k_"))
     w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    placed = counts.select(*by, "v", F.sum("k_").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("k_").over(w).alias("n"))
     at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("bigint")
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("r") == at(p), F.col("v"))).alias(name) for name, p in shares.items()))
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(name) for name, p in shares.items()))
+
+
+def tiles_of(df: DataFrame, value: str, by: list[str], k: int) -> DataFrame:
+    """(by, tile, n, total): rows in order of value in k tiles, the one ranked r of n in tile r * k // n; how many rows each holds
+    and the sum of their values. Equal values are counted first and dealt to the tiles that their ranks touch."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("k_"))
+    w = Window.partitionBy(*by)
+    placed = counts.select(*by, "v", "k_", (F.sum("k_").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k_")).alias("low"), F.sum("k_").over(w).alias("n_"))
+    tile = lambda r: F.floor(r * k / F.col("n_"))
+    touched = placed.withColumn("tile", F.explode(F.sequence(tile(F.col("low")), tile(F.col("low") + F.col("k_") - 1))))
+    edge = lambda t: F.ceil(t * F.col("n_") / k)
+    inside = F.least(edge(F.col("tile") + 1), F.col("low") + F.col("k_")) - F.greatest(edge(F.col("tile")), F.col("low"))
+    return touched.groupBy(*by, "tile").agg(F.sum(inside).alias("n"), F.sum(inside * F.col("v")).alias("total"))
 
 
 def histogram(df: DataFrame, value: Column, edges: list[float]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 TERMINATORS, CLOSERS = ".!?", "\"')\\]"
 CUT = "\x01"
 SENTENCES, CHARACTERS = 6, 180  # the default budget of a chunk
+BLOCK = 256  # values whose results are gathered before they are joined to the rest
 
 
 def sentence_pieces(text: Column, terminators: str = TERMINATORS, closers: str = CLOSERS) -> Column:
@@ -17,10 +18,30 @@ def sentence_pieces(text: Column, terminators: str = TERMINATORS, closers: str =
     return F.filter(F.split(marked, CUT), lambda s: s != "")
 
 
+def folded(values: Column, zero: Column, step, out: str) -> Column:
+    """What step emits for each value, by a fold: step(state, value) is a struct of the new state and of `out`, the value emitted.
+
+    An array grows by copying, so emitted values are gathered in blocks of BLOCK and blocks are joined: copies per value are
+    BLOCK / 2 and, of long arrays, a share of their length / BLOCK.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    empty = F.array().cast(f"array<{out}>")
+    start = F.struct(zero.alias("state"), empty.alias("out"))
+
+    def one(a: Column, x: Column) -> Column:
+        made = step(a["state"], x)
+        return F.struct(made["state"].alias("state"), F.concat(a["out"], F.array(made["out"])).alias("out"))
+
+    def block(a: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(a["state"].alias("state"), empty.alias("out")), one)
+        return F.struct(inner["state"].alias("state"), F.concat(a["out"], inner["out"]).alias("out"))
+
+    return F.aggregate(blocks, start, block, lambda a: a["out"])
+
+
 def starts_of(lengths: Column) -> Column:
-    """Running offsets of an array of lengths, by one fold."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    return F.aggregate(lengths, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+    """Running offsets of an array of lengths."""
+    return folded(lengths, F.lit(0).cast("bigint"), lambda at, n: F.struct((at + n).alias("state"), at.alias("out")), "bigint")
 
 
 def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
@@ -34,14 +55,14 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def windows_of(lengths: Column, cap: Column, budget: int) -> Column:
     """Number of the greedy window of each atom: a window closes when one more sentence would pass the cap, or one more
     atom the character budget; an atom that alone passes it stands alone."""
-    zero = F.struct(F.lit(-1).alias("w"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("c"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(-1).alias("w"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("c"))
 
     def step(a: Column, length: Column) -> Column:
         fits = (a["w"] >= 0) & (a["n"] + 1 <= cap) & (a["c"] + length <= budget)
         w = F.when(fits, a["w"]).otherwise(a["w"] + 1)
-        return F.struct(w.alias("w"), F.when(fits, a["n"] + 1).otherwise(1).alias("n"), F.when(fits, a["c"] + length).otherwise(length).alias("c"), F.concat(a["out"], F.array(w)).alias("out"))
+        return F.struct(F.struct(w.alias("w"), F.when(fits, a["n"] + 1).otherwise(1).alias("n"), F.when(fits, a["c"] + length).otherwise(length).alias("c")).alias("state"), w.alias("out"))
 
-    return F.aggregate(lengths, zero, step, lambda a: a["out"])
+    return folded(lengths, zero, step, "int")
 
 
 def window_count(lengths: Column, cap: Column, budget: int) -> Column:

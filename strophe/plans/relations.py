@@ -292,10 +292,8 @@ def topk_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT lang, n_chars, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
     SELECT lang, r * 10 // n AS decile, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM t GROUP BY ALL""")
 def decile_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("lang")
-    rows = load(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id")
-    ranked = rows.select("lang", "n_chars", (F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy("lang", F.floor(F.col("r") * 10 / F.col("n")).alias("decile")).agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))
+    found = measure.tiles_of(load(spark, sf_dir, "documents").select("lang", "n_chars"), "n_chars", ["lang"], 10)
+    return found.select("lang", F.col("tile").alias("decile"), F.col("n").alias("n_docs"), F.col("total").alias("chars"))
 
 
 @query("""SELECT p_type, CASE WHEN p_name LIKE '%widget%' THEN 'widget' WHEN p_name LIKE '%gear%' THEN 'gear' WHEN p_name LIKE '%bolt%' THEN 'bolt' ELSE 'other' END AS genre, count(*) AS n FROM part GROUP BY ALL""")
@@ -381,6 +379,8 @@ def counts_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.cube("n_name", "c_mktsegment").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("*").alias("n"), level.alias("level"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 100000)""")
 def orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers that no large pending order names."""
+    named = load(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_totalprice > 100000")
+    return load(spark, sf_dir, "customer").join(named, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

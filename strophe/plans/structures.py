@@ -62,28 +62,27 @@ def last_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.last_of_key(load(spark, sf_dir, "events"), "user_id", "event_id", "value")
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT 's' || l_suppkey AS a, 'x' || l_orderkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08),
-    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS family FROM r GROUP BY id""")
+@query("""WITH RECURSIVE l AS (SELECT 'c' || c_custkey AS a, 'k' || c_nationkey || c_mktsegment AS b FROM customer), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS family FROM r GROUP BY id""")
 def connected_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08")
-    links = rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("x"), F.col("l_orderkey").cast("string")).alias("b"))
+    """Customers that share a nation and segment, and those keys."""
+    links = load(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("k"), F.col("c_nationkey").cast("string"), "c_mktsegment").alias("b"))
     return graph.families(links, "a", "b")
 
 
-@query(f"""WITH {NODES_SQL.strip().rstrip(',')}, d AS (SELECT *, left(id, 1) = 's' AND ord % 5 = 0 AS dropped, left(id, 1) = 's' AND ord % 5 = 1 AS moved FROM nodes WHERE left(id, 1) <> 'c')
+@query(f"""WITH {NODES_SQL.strip().rstrip(',')}, d AS (SELECT *, left(id, 1) = 's' AND ord % 5 = 0 AS dropped, left(id, 1) = 's' AND ord % 5 = 1 AS moved FROM nodes)
     SELECT 'geo' AS tree, count(*) FILTER (NOT dropped AND NOT moved) AS tp, count(*) FILTER (NOT dropped AND moved) AS fp, count(*) FILTER (dropped OR moved) AS fn,
     round(count(*) FILTER (NOT dropped AND NOT moved) / CAST(count(*) FILTER (NOT dropped) AS DOUBLE), 6) AS p, round(count(*) FILTER (NOT dropped AND NOT moved) / CAST(count(*) AS DOUBLE), 6) AS r,
     round(2 * count(*) FILTER (NOT dropped AND NOT moved) / CAST(count(*) + count(*) FILTER (NOT dropped) AS DOUBLE), 6) AS f FROM d""")
 def tree_match_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tree of regions, nations and suppliers against a copy without every fifth supplier and with another fifth
+    """The tree of regions, nations, suppliers and customers against a copy without every fifth supplier and with another fifth
     out of reach.
 
     The outcome is known: what is dropped or moved is missed, what is moved is wrong, all else matches.
     """
-    nodes = nodes_of(spark, sf_dir).where("left(id, 1) <> 'c'")
+    nodes = nodes_of(spark, sf_dir)
     leaf, line = F.substring("id", 1, 1) == "s", F.col("ord") * 10
     gold = nodes.select("tree", "id", "parent", line.alias("line"), F.col("ord").alias("order"))
-    moved = F.when(leaf & (F.col("ord") % 5 == 1), line + 100_000_000).otherwise(line)
+    moved = F.when(leaf & (F.col("ord") % 5 == 1), line + 1_000_000_000).otherwise(line)
     pred = nodes.where(~(leaf & (F.col("ord") % 5 == 0))).select("tree", "id", "parent", moved.alias("line"), F.col("ord").alias("order"))
     return match.tree_scores(pred, gold)
 

@@ -90,23 +90,20 @@ def strip_punct_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", n.alias("n_kept"), (F.length("text") - n).alias("n_dropped"), F.sha2("s", 256).alias("digest"))
 
 
-@query("""SELECT item_id, len(h) AS n_hits, h[1] AS first_hit, h[len(h)] AS last_hit FROM (
-    SELECT item_id, list_filter(range(0, length(text) - 1), lambda i: substring(text, i + 1, 2) = 'th') AS h FROM benchmark)""")
+@query("""SELECT doc_id, CAST(len(p) - 1 AS BIGINT) AS n_hits, CASE WHEN len(p) > 1 THEN length(p[1]) END AS first_hit, CASE WHEN len(p) > 1 THEN length(text) - length(p[len(p)]) - 2 END AS last_hit FROM (SELECT doc_id, text, string_split(text, 'th') AS p FROM documents)""")
 def find_all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = load(spark, sf_dir, "benchmark").select("item_id", T.hits(F.col("text"), F.lit("th")).alias("h"))
+    found = load(spark, sf_dir, "documents").select("doc_id", T.hits(F.col("text"), F.lit("th")).alias("h"))
     at = lambda k: F.try_element_at("h", F.lit(k)).cast("bigint")
-    return found.select("item_id", F.size("h").cast("bigint").alias("n_hits"), at(1).alias("first_hit"), at(-1).alias("last_hit"))
+    return found.select("doc_id", F.size("h").cast("bigint").alias("n_hits"), at(1).alias("first_hit"), at(-1).alias("last_hit"))
 
 
-@query(r"""WITH k AS (SELECT item_id, text, list_filter(range(0, length(text)), lambda i: NOT regexp_matches(substring(text, i + 1, 1), '[\p{P}\p{Z}\p{Cc}\p{Cf}]')) AS keep,
-        regexp_replace(text, '[\p{P}\p{Z}\p{Cc}\p{Cf}]', '', 'g') AS s FROM benchmark),
-    h AS (SELECT item_id, keep, list_filter(range(0, length(s) - 1), lambda i: substring(s, i + 1, 2) = 'nt') AS h FROM k)
-    SELECT item_id, len(h) AS n_hits, keep[h[1] + 1] AS first_start, keep[h[1] + 2] + 1 AS first_end_excl FROM h""")
+@query(r"""WITH k AS (SELECT doc_id, text, regexp_replace(text, '[\p{P}\p{Z}\p{Cc}\p{Cf}]', '', 'g') AS s FROM documents), h AS (SELECT doc_id, len(string_split(s, 'nt')) - 1 AS n, instr(text, regexp_extract(text, 'n[\p{P}\p{Z}\p{Cc}\p{Cf}]*t')) AS hit, length(regexp_extract(text, 'n[\p{P}\p{Z}\p{Cc}\p{Cf}]*t')) AS m FROM k)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_hits, CASE WHEN n > 0 THEN hit - 1 END AS first_start, CASE WHEN n > 0 THEN hit - 1 + m END AS first_end_excl FROM h""")
 def find_hits_ignore_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = load(spark, sf_dir, "benchmark").select("item_id", T.kept_positions(F.col("text")).alias("keep"), T.hits(T.strip_punct(F.col("text")), F.lit("nt")).alias("h"))
+    found = load(spark, sf_dir, "documents").select("doc_id", T.kept_positions(F.col("text")).alias("keep"), T.hits(T.strip_punct(F.col("text")), F.lit("nt")).alias("h"))
     first = F.try_element_at("h", F.lit(1))
     at = lambda k: F.when(first.isNotNull(), F.try_element_at("keep", F.coalesce(first + k, F.lit(1)))).cast("bigint")
-    return found.select("item_id", F.size("h").cast("bigint").alias("n_hits"), at(1).alias("first_start"), (at(2) + 1).alias("first_end_excl"))
+    return found.select("doc_id", F.size("h").cast("bigint").alias("n_hits"), at(1).alias("first_start"), (at(2) + 1).alias("first_end_excl"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS x, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
@@ -258,10 +255,13 @@ def html_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contamination_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of eight words that a document shares with a benchmark item."""
 
-    def grams(table: str, key: str) -> DataFrame:
-        rows = load(spark, sf_dir, table).select(key, F.split(F.lower("text"), " ").alias("w"))
-        at = F.explode(F.expr("IF(size(w) > 7, sequence(1, size(w) - 7), array())"))
-        return rows.select(key, "w", at.alias("i")).select(key, F.array_join(F.slice("w", F.col("i"), 8), " ").alias("gram")).distinct()
-
-    shared = grams("documents", "doc_id").join(grams("benchmark", "item_id"), "gram")
+    words = lambda table: load(spark, sf_dir, table).withColumn("w", F.split(F.lower("text"), " "))
+    windows = F.expr("IF(size(w) > 7, transform(sequence(1, size(w) - 7), i -> array_join(slice(w, i, 8), ' ')), array())")
+    marked = F.transform(windows, lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit("again"), g).alias("i")))
+    grams = lambda table, key: words(table).select(key, F.explode(F.array_distinct(marked)).alias("g")).select(key, "g.h", "g.i")
+    known = grams("benchmark", "item_id")
+    # two hashes stand for a window of eight words, so that a document's words aren't repeated in each of its windows
+    if known.count() <= 1_000_000:
+        known = F.broadcast(known)
+    shared = grams("documents", "doc_id").join(known, ["h", "i"])
     return shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))

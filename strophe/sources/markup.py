@@ -152,9 +152,10 @@ def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 
 def read_outline(spark: SparkSession, path: str) -> DataFrame:
-    """(lineno, level, label, heading, count): indented outline text, two blanks a level; a trailing count in brackets."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("lineno"), "value").where("trim(value) <> ''")
-    return outline_rows(rows)
+    """(lineno, level, label, heading, count): indented outline text, two blanks a level; a trailing count in brackets. lineno is the line's
+    number in its file, from 1."""
+    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    return outline_rows(files.select((F.col("at") + 1).alias("lineno"), "value").where("trim(value) <> ''"))
 
 
 def outline_rows(rows: DataFrame) -> DataFrame:
