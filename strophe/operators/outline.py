@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import table
+from .tree import walked
+
 SPANS = "tree string, node string, kind string, char_start long, char_end_excl long"
 
 
@@ -19,15 +22,17 @@ def placed(nodes: DataFrame) -> DataFrame:
 
 
 def outlined(nodes: DataFrame, totals: DataFrame) -> DataFrame:
-    """SPANS: the text from each placed node to the next; of a node with placed descendants it is its preamble.
+    """SPANS: the text from each placed node to the next; of a node with placed descendants, at any depth, it is its preamble.
 
-    Empty preambles are left out. totals: (tree, total).
+    Empty spans are left out. totals: (tree, total). In pre-order a node has a placed descendant just if the next placed node is
+    one, so each placed node asks its ancestors only whether the one placed before it is among them.
     """
-    rows = placed(nodes).where("placed").join(totals, "tree")
+    above = walked(nodes, F.array("id"), lambda a: F.concat(a, F.array("id"))).withColumnRenamed("state", "above")
+    rows = placed(above).where("placed").join(totals, "tree")
     w = Window.partitionBy("tree").orderBy("order")
-    after = rows.select("tree", F.col("parent").alias("id")).distinct().withColumn("has_kids", F.lit(True))
-    spans = rows.withColumn("end", F.coalesce(F.lead("at").over(w), F.col("total"))).join(after, ["tree", "id"], "left")
-    return spans.where(F.col("end") > F.col("at")).select("tree", F.col("id").alias("node"), F.when(F.col("has_kids"), "preamble").otherwise("leaf").alias("kind"), F.col("at").alias("char_start"), F.col("end").alias("char_end_excl"))
+    inner = F.coalesce(F.array_contains(F.lead("above").over(w), F.col("id")), F.lit(False))
+    spans = rows.withColumns({"end": F.coalesce(F.lead("at").over(w), F.col("total")), "inner": inner})
+    return spans.where(F.col("end") > F.col("at")).select("tree", F.col("id").alias("node"), F.when(F.col("inner"), "preamble").otherwise("leaf").alias("kind"), F.col("at").alias("char_start"), F.col("end").alias("char_end_excl"))
 
 
 def coverage(spans: DataFrame, totals: DataFrame) -> DataFrame:
@@ -66,20 +71,28 @@ def findings(nodes: DataFrame) -> DataFrame:
     return rows.select("tree", "id", F.explode(hits).alias("x")).select("tree", "id", "x.severity", "x.code", "x.detail")
 
 
-def repaired(nodes: DataFrame) -> DataFrame:
-    """nodes with starts and ends clipped into the parent's span and, among siblings, starts outside a longest
-    non-decreasing chain set to null. `repair` names what was done."""
+def repaired(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """nodes with starts and ends clipped into the parent's span as it then is, and, among siblings, starts outside a longest
+    non-decreasing chain set to null, with the end. Repeated until nothing changes, `most` times at most. `repair` names the
+    last thing done; null if nothing was."""
     from .match import kept_in_order
 
-    up = nodes.select("tree", F.col("id").alias("parent"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    rows = nodes.join(up, ["tree", "parent"], "left")
-    start = F.coalesce(F.greatest(F.col("start"), F.least("p_start", "p_end")), "start")
-    end = F.coalesce(F.when(F.col("end").isNotNull(), F.least(F.col("end"), F.col("p_end"))), "end")
-    clipped = rows.select("tree", "id", "parent", "order", start.alias("new_start"), end.alias("new_end"), ((start != F.col("start")) | (end != F.col("end"))).alias("moved"))
-    chained = kept_in_order(clipped, ["tree", "parent"], "order", "new_start")
-    out = F.col("new_start").isNotNull() & ~F.col("in_chain")
-    kept = lambda c: F.when(~out, F.col(f"new_{c}")).alias(c)
-    return chained.select("tree", "id", "parent", "order", kept("start"), kept("end"), F.when(out, "demoted").when(F.col("moved"), "clipped").alias("repair"))
+    rows = nodes.select("tree", "id", "parent", "order", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.lit(None).cast("string").alias("repair"))
+    for _ in range(most):
+        up = rows.select("tree", F.col("id").alias("parent"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+        both = rows.join(up, ["tree", "parent"], "left")
+        low, high = F.least("p_start", "p_end"), F.greatest("p_start", "p_end")
+        clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), high), low))
+        moved = (F.coalesce(clip("start"), F.lit(-1)) != F.coalesce("start", F.lit(-1))) | (F.coalesce(clip("end"), F.lit(-1)) != F.coalesce("end", F.lit(-1)))
+        clipped = both.select("tree", "id", "parent", "order", clip("start").alias("start"), clip("end").alias("end"), F.when(moved, "clipped").otherwise(F.col("repair")).alias("repair"), moved.alias("moved"))
+        chained = kept_in_order(clipped, ["tree", "parent"], "order", "start")
+        out = F.col("start").isNotNull() & ~F.col("in_chain")
+        kept = lambda c: F.when(~out, F.col(c)).alias(c)
+        done = table(chained.select("tree", "id", "parent", "order", kept("start"), kept("end"), F.when(out, "demoted").otherwise(F.col("repair")).alias("repair"), (F.col("moved") | out).alias("moved")), "repaired")
+        rows = done.drop("moved")
+        if done.where("moved").isEmpty():
+            break
+    return rows
 
 
 def eligibility(nodes: DataFrame, split: str, scope: Column, covered: Column) -> DataFrame:

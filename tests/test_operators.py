@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import search
 from strophe.functions import text as T
-from strophe.operators import formula, graph, intervals, match, measure, segment, tree
+from strophe.operators import formula, graph, intervals, match, measure, outline, segment, sequences, tree
 from strophe.sources import markup
 from strophe.streaming import events
 
@@ -232,3 +232,52 @@ def test_trees_deeper_than_the_bound_are_an_error(spark):
     assert walk(4).count() == 4
     with pytest.raises(ValueError):
         walk(3)
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    r = random.Random(1)
+    links = [(f"a{i:02}", f"a{i + 1:02}") for i in range(40)] + [("b00", f"b{i:02}") for i in range(1, 20)] + [("c", "c"), (None, "d")]
+    links = [(x, y) if r.random() < 0.5 else (y, x) for x, y in links]
+    found = {x.id: x.component for x in graph.components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert found == {**{f"a{i:02}": "a00" for i in range(41)}, **{f"b{i:02}": "b00" for i in range(20)}}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spans_of_nodes_with_deep_or_unplaced_children(spark):
+    nodes = [("t", "r", None, 0, 0), ("t", "x", "r", 1, None), ("t", "y", "x", 2, 5), ("t", "z", "r", 3, 3), ("t", "w", "r", 4, 9)]
+    rows = spark.createDataFrame(nodes, "tree string, id string, parent string, order long, at long")
+    found = {x.node: (x.kind, x.char_start, x.char_end_excl) for x in outline.outlined(rows, spark.createDataFrame([("t", 12)], "tree string, total long")).collect()}
+    assert found == {"r": ("preamble", 0, 5), "y": ("leaf", 5, 9), "w": ("leaf", 9, 12)}
+
+
+def test_repair_goes_on_with_what_it_has_repaired(spark):
+    nodes = [("t", "r", None, 0, 10, 20), ("t", "a", "r", 1, 5, 40), ("t", "b", "a", 2, 1, 35), ("t", "c", "r", 3, 18, 19), ("t", "d", "r", 4, 12, 13)]
+    rows = spark.createDataFrame(nodes, "tree string, id string, parent string, order long, start long, end long")
+    found = {x.id: (x.start, x.end, x.repair) for x in outline.repaired(rows).collect()}
+    assert found["r"] == (10, 20, None) and found["a"] == (10, 20, "clipped") and found["b"] == (10, 20, "clipped")
+    assert {found["c"], found["d"]} == {(18, 19, None), (None, None, "demoted")} or {found["c"], found["d"]} == {(None, None, "demoted"), (12, 13, None)}
+
+
+def test_an_item_that_announces_takes_the_next_ones(spark):
+    items = [("t", 1, False, 2), ("t", 2, True, 2), ("t", 3, True, None), ("t", 4, True, None), ("t", 5, True, None), ("t", 6, True, None), ("t", 7, False, None)]
+    rows = spark.createDataFrame(items, "tree string, ord long, ordinal boolean, count long")
+    assert {x.ord: x.parent for x in sequences.chart_parents(rows, ["tree"], "ord").collect()} == {1: None, 2: 1, 3: 2, 4: 2, 5: 1, 6: None}
+
+
+def test_repeated_rows_keep_their_split(spark):
+    spans = spark.createDataFrame([("a", 0, 0, 5), ("b", 1, 3, None)], "split string, ord int, start_incl long, end_excl long")
+    points = spark.createDataFrame([(1,), (1,), (4,), (7,), (-1,), (None,)], "pos long")
+    assert sorted((x.pos is None, x.pos or 0, x.split) for x in intervals.spans_of(points, spans, [], "pos", "none").collect()) == [(False, -1, "none"), (False, 1, "a"), (False, 1, "a"), (False, 4, "a"), (False, 7, "b"), (True, 0, "none")]
+
+
+def test_tiles_and_ranks_count_equal_values(spark):
+    r = random.Random(8)
+    rows = [(k, r.randrange(6)) for k in "ab" for _ in range(r.randint(5, 40))]
+    df = spark.createDataFrame(rows, "k string, v long")
+    found = {(x.k, x.tile): (x.n, x.total) for x in measure.tiles_of(df, "v", ["k"], 10).collect()}
+    for k in "ab":
+        own = sorted(v for j, v in rows if j == k)
+        tiles: dict = {}
+        for i, v in enumerate(own):
+            tiles.setdefault(i * 10 // len(own), []).append(v)
+        assert {t: (len(x), sum(x)) for t, x in tiles.items()} == {t: x for (j, t), x in found.items() if j == k}
