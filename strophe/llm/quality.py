@@ -82,7 +82,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED, id_col:
     docs = documents.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text"))
     known = marks.join(docs.select("id_").distinct(), "id_", "left_semi")
     chosen = known.orderBy(F.xxhash64("id_"), "id_").limit(most)
-    rows = _measured(docs.join(F.broadcast(chosen), "id_").dropDuplicates(["id_"])).collect()  # `most` ids are broadcast
+    rows = _measured(docs.join(F.broadcast(chosen), "id_").groupBy("id_", "y").agg(F.min("text").alias("text"))).collect()  # `most` ids are broadcast
     x = np.array([r.f for r in rows], dtype=float).reshape(-1, len(FEATURES))
     y = np.array([r.y for r in rows], dtype=float)
     order = np.lexsort([*x.T[::-1], y])  # the order of rows mustn't matter
@@ -90,19 +90,19 @@ def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED, id_col:
 
 
 def evidence(documents: DataFrame, model: Classifier, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, host, path, p_doc (the classifier's probability that the document is good)."""
+    """Per row: doc_id, host, path, text_hash (xxhash64), p_doc (the classifier's probability that the document is good)."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    out = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("p_doc", pa.float64())])
+    out = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("text_hash", pa.int64()), ("p_doc", pa.float64())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            x = np.array([features(t) for t in b.column(3).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([features(t) for t in b.column(4).to_pylist()]).reshape(-1, len(FEATURES))
             z = np.clip((x - m.centre) / m.scale, -8, 8) @ m.weights[:-1] + m.weights[-1]
-            yield batch(out, [*(b.column(i) for i in range(3)), 1 / (1 + np.exp(-np.clip(z, -20, 20)))])
+            yield batch(out, [*(b.column(i) for i in range(4)), 1 / (1 + np.exp(-np.clip(z, -20, 20)))])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, host string, path string, p_doc double")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(judge, "doc_id long, host string, path string, text_hash long, p_doc double")
 
 
 def concentration(groups: DataFrame, mean: float) -> float:
@@ -147,19 +147,23 @@ def judged(rows: DataFrame, prior: float, threshold: float = 0.5) -> DataFrame:
     found = found.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     z = odds(F.col("path_rate")) + odds(F.col("p_doc")) - F.lit(float(np.log(prior / (1 - prior))))
     quality = 1 / (1 + F.exp(-z))
-    return found.select("doc_id", "host", "path", "p_doc", "host_rate", "path_rate", quality.alias("quality"), (quality >= threshold).alias("keep"))
+    more = [c for c in ("text_hash",) if c in rows.columns]
+    return found.select("doc_id", *more, "host", "path", "p_doc", "host_rate", "path_rate", quality.alias("quality"), (quality >= threshold).alias("keep"))
 
 
-def rated(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
-    """One row per row of documents: doc_id, host, path, p_doc, host_rate, path_rate, quality, keep.
+def rated(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, text_hash: bool = False) -> DataFrame:
+    """One row per row of documents: doc_id, host, path, p_doc, host_rate, path_rate, quality, keep; with text_hash also
+    xxhash64 of the text, which tells rows of one id apart.
 
     host and path default to the source and the language, the sections of these tables. Texts that are null or
-    without words have a shape of zeros and are judged by it and by their site; very long texts are read whole; an
-    empty table gives no rows; without labels of both kinds the classifier gives the prior for all.
+    without words have a shape of zeros and are judged by it and by their site; very long texts are read whole; a null id
+    stays null; rows that repeat are rated each (equal rows alike); an empty table gives no rows; without labels of both
+    kinds the classifier gives the prior for all. A labelled id that stands on several texts teaches the smallest of them.
+    Other columns of documents, also such as are named like results, aren't looked at.
     """
     model = train(documents, labels)
     rows = table(evidence(documents, model, F.col("source") if host is None else host, F.col("lang") if path is None else path), "evidence")
-    return judged(rows, model.prior, threshold)
+    return judged(rows if text_hash else rows.drop("text_hash"), model.prior, threshold)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
