@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from .common import batch, held_out
 
 BITS = 16  # n-grams are hashed to 2 ** BITS counters
-LETTER = re.compile(r"[^\W\d_]")
 #: A further language must raise the log-likelihood by this much per log of the number of n-grams (BIC has 0.5).
 PENALTY = 3.0
 ROUNDS = 30
@@ -104,9 +102,10 @@ def mixture(logs: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: list | None = None) -> DataFrame:
     """Per row: doc_id, lang_pred, score (that language's proportion, 0 to 1), languages (how many were selected).
 
-    Nothing but the text is an input. A text that is null, empty or without a letter is `und` with score 0, as is any
-    text if no language was learnt. Whole texts are used, ties go to the language that sorts first. `extra`
-    columns are passed through under their own aliases.
+    Nothing but the text is an input. A text that is null, empty or without a letter (Unicode's categories L) is `und` with
+    score 0, as is any text if no language was learnt. Whole texts are used, ties go to the language that sorts first; a null
+    id stays null; equal texts have equal results; an empty table gives no rows. `extra` columns are passed through under
+    their own aliases; no other column is looked at.
     """
     extra = extra or []
     sent = documents.sparkSession.sparkContext.broadcast(model)
@@ -116,7 +115,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
         for b in batches:
             names, scores, kinds = [], [], []
             for text in b.column(0).to_pylist():
-                if not text or not languages or not LETTER.search(text):
+                if not text or not languages or not any(map(str.isalpha, text)):
                     names.append("und"), scores.append(0.0), kinds.append(0)
                     continue
                 w = mixture(logs, grams(text))

@@ -133,7 +133,8 @@ def fitted(training: DataFrame, numbers: dict[bytes, int], model: gru.Model) ->
 def scored(documents: DataFrame, out_of_training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null or empty text is its end alone; a null id stays null; repeated rows are scored alike; without training
+    A null or empty text is its end alone; a text of any length is scored whole; a null id stays null; repeated rows are scored
+    alike; an empty table gives no rows; other columns, whatever their names, aren't looked at; without training
     documents nothing is known and both scores rest on one unknown token. base_score is the add-one unigram score.
     score is the recurrent model's, which learns from all training documents (by which task reads them, see fitted()): of a word beyond its WORDS, the probability of such a word times its add-one share
     among those. Counts are of all training words: the HEAD most frequent are sent to every task, the others'

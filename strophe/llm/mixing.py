@@ -79,7 +79,8 @@ def mix(documents: DataFrame, entropy: float = 0.95, repeats: float = 2.0, budge
     whole blocks of its documents, permuted by hash, then documents of the next block, as long as they fit.
 
     A null source is a source of its own, a null text has no tokens; documents without tokens go with their block, and
-    those of a source without any tokens are taken once. Rows that repeat are documents of their own.
+    those of a source without any tokens are taken once. Rows that repeat are documents of their own. An empty table gives no
+    rows.
     """
     keep, own = keep or [], "_mix_"
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(str(seed))))
