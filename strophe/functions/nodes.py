@@ -113,3 +113,26 @@ def quote_kind(before: Column, after: Column, length: Column) -> Column:
         .when((length <= 14) & ~ends("云：?", "曰：", "言：?", "說"), "term")
         .otherwise("citation")
     )
+
+
+#: Words that open a subject without being part of it, and particles that end it.
+OPENING = "今初|此初|今|然|又|且|即|則|其|此之|此|所言|言|就|於|釋|列|辨|明|次|是"
+ENDING = "之中|中|者|段|下"
+
+
+def bare_subject(text: Column) -> Column:
+    """A subject without quotation marks, marks and blanks at its ends, one opening word and one final particle."""
+    open_ = F.regexp_replace(text, "[「『〈《]", "")
+    trimmed = F.regexp_replace(open_, "^[：:，, ]+|[：:，, ]+$", "")
+    return F.regexp_replace(F.regexp_replace(trimmed, f"^(?:{OPENING})", ""), f"(?:{ENDING})$", "")
+
+
+def bare_heading(heading: Column, expected: Column) -> Column:
+    """A heading without leading ordinal, 【】 around it and remarks in brackets at its end; a trailing numeral goes only if
+    it is one of the expected counts, being the heading's own otherwise."""
+    plain = strip_ordinal(heading)
+    wrapped = F.regexp_replace(plain, r"^【([^】]*\S[^】]*)】", "$1")
+    bare = F.regexp_replace(wrapped, r"^(.*?\S)(?:\s*[(（][^()（）]*[)）])+$", "$1")
+    tail = F.regexp_extract(bare, r"^.*?\S([0-9]+|[一二三四五六七八九十]{1,3})$", 1)
+    cut = F.trim(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)))
+    return F.when((tail != "") & F.array_contains(expected.cast("array<bigint>"), count_value(tail)), cut).otherwise(bare)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.search import common_lengths, find_staged
-from ..operators import formula, graph, match, outline, segment, tree
+from ..operators import graph, match, outline, segment, tree
 from ..sources import markup
 from ..streaming import events as streams
 from .relations import NODES_SQL, WALK_SQL, nodes_of
@@ -94,17 +94,6 @@ def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.kept_in_order(rows, ["o_custkey"], "o_orderkey", "o_totalprice").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if("in_chain").alias("n_chain"))
 
 
-@query()
-def statement_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = formula.statements_of(load(spark, sf_dir, "documents"), formula.LATIN)
-    return found.select("doc_id", "seq", "kind", "rule", "char_start", "char_end_excl", "count", "ordinal", "subject", F.array_join("labels", " / ").alias("labels"))
-
-
-@query()
-def outline_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formula.outlines_of(load(spark, sf_dir, "documents"), formula.LATIN)
-
-
 OUTLINE_SQL = """nd AS (SELECT doc_id AS tree, doc_id || '-' || k AS id, CASE WHEN k > 0 THEN doc_id || '-' || (k // 2 * 2) % (k + 1 - k % 2) END AS parent, k AS "order",
     CASE WHEN k % 4 = 3 THEN (length(text) * k) // 10 ELSE (length(text) * k) // 8 END AS pos, length(text) AS total FROM documents, range(0, 8) t(k) WHERE text <> '')"""
 
