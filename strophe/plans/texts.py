@@ -177,7 +177,22 @@ def chunk_pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir)
 
 
-@query()
+BALANCED_SQL = f"""
+WITH RECURSIVE {PIECES_SQL},
+g(doc_id, cap, sent_no, w, k, c) AS (
+    SELECT doc_id, cap, sent_no, CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(n AS BIGINT) FROM o, range(1, 7) r(cap) WHERE sent_no = 0
+    UNION ALL
+    SELECT o.doc_id, g.cap, o.sent_no, g.w + CASE WHEN g.k + 1 <= g.cap AND g.c + o.n <= 180 THEN 0 ELSE 1 END,
+        CASE WHEN g.k + 1 <= g.cap AND g.c + o.n <= 180 THEN g.k + 1 ELSE 1 END, CASE WHEN g.k + 1 <= g.cap AND g.c + o.n <= 180 THEN g.c + o.n ELSE o.n END
+    FROM g JOIN o ON o.doc_id = g.doc_id AND o.sent_no = g.sent_no + 1),
+m AS (SELECT doc_id, cap, max(w) + 1 AS windows, count(*) AS sentences FROM g GROUP BY doc_id, cap),
+b AS (SELECT m.doc_id, coalesce(min(m.cap) FILTER (m.windows = f.windows AND f.windows >= 2 AND m.cap >= greatest(1, ceil(f.sentences / f.windows))), 6) AS cap FROM m JOIN m f ON f.doc_id = m.doc_id AND f.cap = 6 GROUP BY m.doc_id)
+SELECT o.doc_id, g.w AS chunk_no, min(o.sent_no) AS first_sentence, count(*) AS n_sentences, min(o.char_end_excl - o.n) AS char_start, max(o.char_end_excl) AS char_end_excl, CAST(sum(o.n) AS BIGINT) AS n_chars
+FROM o JOIN g USING (doc_id, sent_no) JOIN b ON b.doc_id = o.doc_id AND b.cap = g.cap GROUP BY o.doc_id, g.w
+"""
+
+
+@query(BALANCED_SQL)
 def chunk_pack_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir, balanced=True)
 
@@ -197,9 +212,10 @@ def chunk_inv_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum("n_chars").alias("covered"), F.count_if(F.col("char_start") > F.col("before")).alias("n_gaps"), F.count_if(F.col("char_start") < F.col("before")).alias("n_overlaps"))
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS chunk_no FROM documents WHERE false")
+@query(PACK_SQL + "SELECT doc_id, chunk_no FROM c WHERE n_sentences > 5 OR (n_chars > 150 AND n_sentences > 1)")
 def chunk_inv_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = (F.col("n_sentences") > 6) | ((F.col("n_chars") > 180) & (F.col("n_sentences") > 1))
+    """Chunks over a size: those packed for six sentences and 180 characters, held against five and 150, so that there is something to find."""
+    over = (F.col("n_sentences") > 5) | ((F.col("n_chars") > 150) & (F.col("n_sentences") > 1))
     return chunks(spark, sf_dir).where(over).select("doc_id", "chunk_no")
 
 

@@ -47,7 +47,3 @@ def test_rows_are_those_of_the_sql(spark, database, name):
 def test_queries_without_sql_give_rows(spark):
     for name in sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)):
         assert catalogue.QUERIES[name](spark, str(SMALL)).columns
-    balanced = catalogue.QUERIES["chunk_pack_balanced"](spark, str(SMALL)).toPandas()
-    greedy = catalogue.QUERIES["chunk_pack_greedy"](spark, str(SMALL)).toPandas()
-    assert balanced.groupby("doc_id").size().equals(greedy.groupby("doc_id").size())
-    assert balanced["n_sentences"].max() <= 6 and balanced["n_chars"].sum() == greedy["n_chars"].sum()
