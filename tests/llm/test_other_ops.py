@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.llm import gru, multi_index, quality, warc
+from strophe.llm import gru, lm_score, multi_index, quality, warc
 from strophe.llm.ann import Hash, nearest
 from strophe.llm.components import components
 from strophe.llm.lm_score import score_documents
@@ -85,17 +86,20 @@ def test_hot_cells_are_met_in_blocks(spark, monkeypatch):
 
 
 def test_rotations_keep_lengths_and_axes_are_nearest():
-    h, x = Hash.make(10, 2), np.random.default_rng(0).standard_normal((20, 10))
-    y = h.rotated(x, 1)
+    h, x = Hash.make(10), np.random.default_rng(0).standard_normal((20, 10))
+    y = h.rotated(x, 1, 0)
     assert np.allclose((y * y).sum(axis=1), (x * x).sum(axis=1))
-    assert (h.probes(x, 1, 3)[:, 0] == h.axes(x, 1)).all()
+    gaps = h.gaps(x, 1, 0)
+    assert (gaps.argmin(axis=1) == h.axes(x, 1, 0)).all() and (gaps.min(axis=1) == 0).all()
+    cell = h.part(h.axes(x, 1, 0)) * h.parts + h.part(h.axes(x, 1, 1))
+    assert h._replace(depth=0.0).visited(x, 1)[np.arange(20), cell].all() and h._replace(depth=0.0).visited(x, 1).sum() == 20
 
 
 def test_nearest_against_brute_force(spark):
     rows = cloud(300, seed=2) + [(400, cloud(300, seed=2)[20][1], 0)] + ODD_VECTORS
     df = spark.createDataFrame(rows, VECTORS).withColumn("score", F.lit(0.0))
     found: dict = {}
-    for r in nearest(df, df.where("vec_id % 20 = 0"), 5).collect():
+    for r in nearest(df, df.where("vec_id % 20 = 0"), 5, recall=1.0).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     fine = [(i, np.array(v, dtype=float)) for i, v, _ in rows[:301]]
     for q, v in fine:
@@ -109,6 +113,31 @@ def test_nearest_against_brute_force(spark):
     assert nearest(df.limit(0), df, 5).count() == 0
 
 
+def test_tables_alone_have_the_recall_asked_for(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((50_000, 32)).astype(np.float32)
+    x[::2] += 1.5 * r.standard_normal((50, 32)).astype(np.float32)[r.integers(0, 50, 25_000)]
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(4)
+    found: dict = {}
+    for q, v in nearest(df, df.where("vec_id % 100 = 0"), 20).select("query_id", "vec_id").collect():
+        found.setdefault(q, set()).add(v)
+    x, hit = x.astype(float), 0
+    for q in range(0, len(x), 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hit >= 0.9 * 500 * 20, hit
+
+
+def test_ties_and_lengths_of_vectors(spark):
+    rows = [(i, [1.0, 2.0], 0) for i in range(30)] + [(100 + i, [3.0, 1.0, float(i)], 0) for i in range(3)] + [(40, [2.0, 4.0], 0)]
+    df = spark.createDataFrame(rows, VECTORS)
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in nearest(df, df.where("vec_id IN (0, 100)"), 4).collect())
+    assert found == [(0, 1, 40), (0, 2, 1), (0, 3, 2), (0, 4, 3), (100, 1, 101), (100, 2, 102)]
+    links = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert all(links[i] == (30, 0) for i in [*range(30), 40]) and [links[100 + i] for i in range(3)] == [(1, 100), (2, 100), (1, 100)]
+
+
 def test_recurrent_gradients():
     r = np.random.default_rng(0)
     m = gru.new(np.array([5, 9, 4, 3, 2, 2, 1.0]), 5, 4)
@@ -163,6 +192,43 @@ def test_recurrent_model_learns_from_documents_outside_its_first_sample(spark, m
     assert sum(x.score - x.base_score for x in held) > 0.3 * sum(x.n_tokens for x in held)
 
 
+def plain_score(m: gru.Model, words: list) -> float:
+    """Natural log-probability of a document, word by word in doubles, from the model's own definition."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    k, h, before, total = m.wh.shape[0], np.zeros(m.wh.shape[0]), gru.END, 0.0
+    for w in words:
+        a, b = m.embed[before].astype(float) @ m.wi + m.bi, h @ m.wh.astype(float)
+        r, z = sig(a[:k] + b[:k]), sig(a[k : 2 * k] + b[k : 2 * k])
+        n = np.tanh(a[2 * k :] + r * b[2 * k :])
+        h = (1 - z) * n + z * h
+        c = int(m.cls[w])
+        classes = h @ m.uc + m.bc
+        inside = m.uw[m.first[c] : m.first[c + 1]] @ h + m.bw[m.first[c] : m.first[c + 1]]
+        inside = inside if m.first[c + 1] - m.first[c] > 1 else np.zeros(1)
+        total += classes[c] - np.log(np.exp(classes).sum()) + inside[w - m.first[c]] - np.log(np.exp(inside).sum())
+        before = w
+    return float(total)
+
+
+def test_scores_against_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr("strophe.llm.lm_score.WORDS", 8)
+    monkeypatch.setattr("strophe.llm.lm_score.HEAD", 12)
+    kept, fitted = {}, lm_score.fitted
+    monkeypatch.setattr(lm_score, "fitted", lambda training, numbers, model: kept.setdefault("all", (fitted(training, numbers, model), numbers))[0])
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice(["the Cat", "sat on", "a mat", f"w{r.randrange(30)}"]) for _ in range(1 + i % 40))) for i in range(60)] + [(99, None), (98, "long " * 3000 + "end")]
+    found = {x.doc_id: x.score for x in score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    model, numbers = kept["all"]
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in docs if not out(i) for w in (t or "").lower().encode().split())
+    beyond, kinds = sum(n for w, n in counts.items() if w not in numbers), sum(w not in numbers for w in counts)
+    for i, t in docs:
+        words = (t or "").lower().encode().split()
+        want = plain_score(model, [numbers.get(w, gru.OTHER) for w in words] + [gru.END]) / math.log(10)
+        want += sum(math.log10((counts[w] + 1) / (beyond + kinds + 1)) for w in words if w not in numbers)
+        assert found[i] == pytest.approx(want, rel=2e-4, abs=1e-3), i
+
+
 def test_every_word_is_trained_on_and_chunks_share_moments(monkeypatch):
     seen = Counter()
     window = gru.window
@@ -244,8 +310,49 @@ def test_quality_shrinks_sparse_sites(spark):
     mean = sum(r[3] for r in rows) / len(rows)
     assert found[0].host_rate > 0.85 and found[500].host_rate < 0.25 and abs(found[900].host_rate - mean) < 0.05
     assert found[0].quality > 0.9 > found[900].quality > found[500].quality
-    s, n, strong = sum(r[3] for r in rows if r[1] == "good"), 200, None
-    assert (s - 0.9) / (n - 1) == pytest.approx(found[0].host_rate, abs=0.02) and strong is None
+
+
+def plain_posteriors(rows: list, prior: float) -> dict:
+    """quality.judged() by loops over all other documents of a site."""
+    rows = [(i, h or "", p or "", e) for i, h, p, e in rows]
+    mean = sum(r[3] for r in rows) / len(rows)
+
+    def pseudo(groups: list) -> float:
+        groups = [g for g in groups if g[1] > 1]
+        n = sum(g[1] for g in groups)
+        if not n:
+            return 2.0
+        chance, between = sum(c * (1 - c) for *_, c in groups) / n, sum(k * (s / k - c) ** 2 for s, k, c in groups) / n
+        return min(10_000.0, max(2.0, mean * (1 - mean) / max(between - chance, mean * (1 - mean) / 10_000) - 1))
+
+    def sums(at: slice) -> dict:
+        found: dict = {}
+        for r in rows:
+            found.setdefault(r[at], []).append(r[3])
+        return found
+
+    hosts, paths = sums(slice(1, 2)), sums(slice(1, 3))
+    strong = pseudo([(sum(v), len(v), mean) for v in hosts.values()])
+    centre = {k: (sum(v) + strong * mean) / (len(v) + strong) for k, v in hosts.items()}
+    firm = pseudo([(sum(v), len(v), centre[k[:1]]) for k, v in paths.items()])
+    odds = lambda p: math.log(p / (1 - p))
+    bounded = lambda p: min(1 - 1e-6, max(1e-6, p))
+    found = {}
+    for i, h, p, e in rows:
+        host = (sum(hosts[(h,)]) - e + strong * mean) / (len(hosts[(h,)]) - 1 + strong)
+        path = (sum(paths[(h, p)]) - e + firm * host) / (len(paths[(h, p)]) - 1 + firm)
+        found[i] = (host, path, 1 / (1 + math.exp(-(odds(bounded(path)) + odds(bounded(e)) - odds(prior)))))
+    return found
+
+
+def test_quality_posteriors_against_plain_loops(spark):
+    r = random.Random(12)
+    rows = [(i, r.choice(["a", "b", "c", None]), r.choice(["x", "y", None]), round(r.random() ** (1 + i % 3), 3)) for i in range(150)] + [(900, "alone", "x", 0.7)]
+    found = quality.judged(spark.createDataFrame(rows, "doc_id long, host string, path string, p_doc double"), 0.4).collect()
+    want = plain_posteriors(rows, 0.4)
+    assert len(found) == len(rows)
+    for x in found:
+        assert (x.host_rate, x.path_rate, x.quality) == pytest.approx(want[x.doc_id], abs=1e-9) and x.keep == (x.quality >= 0.5)
 
 
 def test_quality_learns_and_handles_odd_rows(spark):
