@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from strophe.llm import cutting_stock
+from strophe.llm import cutting_stock, near_dedup
 from strophe.llm.bpe_count import MergeCounter, count_tokens
 from strophe.llm.language_id import grams, identify, language_of, learn, mixture
 from strophe.llm.near_dedup import band_shape, near_duplicates, shingle_set, sketch, WordHashes
@@ -174,5 +174,88 @@ def test_language_of_texts_and_mixtures(spark):
     assert {r.lang_pred for r in identify(rows, learn(empty)).collect()} == {"und"}
 
 
+def plain_mixture(logs: np.ndarray, codes: np.ndarray) -> list[float]:
+    """mixture() with the EM of every set spelled out n-gram by n-gram."""
+    tokens = [np.exp(logs[:, g].astype(float) - logs[:, g].astype(float).max()) for g in codes]
+    n = len(logs)
+
+    def likelihood(w):
+        return sum(np.log(max(1e-300, sum(w[k] * t[k] for k in range(n)))) for t in tokens)
+
+    alone = [sum(float(logs[k, g]) for g in codes) for k in range(n)]
+    w = [float(k == int(np.argmax(alone))) for k in range(n)]
+    level = likelihood(w)
+    while sum(x > 0 for x in w) < n:
+        slope = [sum(t[k] / max(1e-300, sum(w[j] * t[j] for j in range(n))) for t in tokens) - len(tokens) if not w[k] else -np.inf for k in range(n)]
+        new = int(np.argmax(slope))
+        if slope[new] <= 0:
+            break
+        tried = [0.9 * x for x in w]
+        tried[new] = 0.1
+        for _ in range(30):
+            shares = [sum(tried[k] * t[k] / sum(tried[j] * t[j] for j in range(n)) for t in tokens) / len(tokens) for k in range(n)]
+            done = max(abs(a - b) for a, b in zip(shares, tried)) < 1e-4
+            tried = [x / sum(shares) for x in shares]
+            if done:
+                break
+        reached = likelihood(tried)
+        if reached - level <= 3.0 * np.log(len(tokens)):
+            break
+        w, level = tried, reached
+    return w
+
+
+def test_mixtures_against_plain_em(spark):
+    docs = [(i, sentences(lang, 40, i), lang, "s", 0) for i, lang in enumerate([*TONGUES] * 8)]
+    model = learn(spark.createDataFrame(docs, DOCS))
+    r = random.Random(7)
+    for k in range(12):
+        text = " ".join(sentences(r.choice([*TONGUES]), r.randint(1, 40), k * 10 + j) for j in range(r.randint(1, 3)))
+        assert mixture(model.logs, grams(text)) == pytest.approx(plain_mixture(model.logs, grams(text)), abs=1e-6)
+    odd = spark.createDataFrame([(1, "² ½ Ⅷ 12"), (2, "x"), (3, sentences("bb", 30_000, 1)), (4, "漢")], "doc_id long, text string").selectExpr("*", "'z' AS lang_pred", "1 AS languages", "'q' AS text_")
+    found = {x.doc_id: x.lang_pred for x in identify(odd, model).collect()}
+    assert found[1] == "und" and found[2] != "und" and found[3] == "bb" and found[4] != "und"
+
+
+def test_the_linear_program_sets_the_plan():
+    r, capacity = np.random.default_rng(0), 100
+    lengths = np.sort(r.choice(np.arange(15, 60), 12, replace=False))
+    demand = r.integers(10, 60, 12).astype(float)
+    start = cutting_stock.first_basis(demand, lengths, capacity)[1].sum()
+    columns, x, bound = cutting_stock.relaxed(demand, lengths, capacity, 0.0)
+    assert np.allclose(columns @ x, demand) and (columns >= -1).all() and (x >= -1e-9).all()
+    total = x[columns.min(axis=0) >= 0].sum()
+    assert bound <= total + 1e-6 and total < start - 2
+    prices = np.linalg.solve(columns.T, (columns.min(axis=0) >= 0).astype(float))
+    worth = cutting_stock.best_pattern(np.maximum(prices, 0), lengths, capacity)[0]
+    assert np.ceil(total - 1e-6) == np.ceil(bound - 1e-6) or worth <= 1 + 1e-6
+    plan = cutting_stock.plan(dict(zip(lengths.tolist(), demand.astype(int).tolist())), capacity)
+    assert sum(p.times for p in plan) <= np.ceil(total) + 2
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (1, "a b c d e f g h"), (2, "q r s t u v w x y"), (3, "Q r s t u v w x")]
+    found = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(1, 4, 1, True), (1, 4, 1, True), (1, 4, 1, True), (2, 5, 1, False), (3, 4, 1, False)]
+
+
+def test_open_buckets_are_met_in_blocks(spark, monkeypatch):
+    """A family around one text, its outer members near one another or near none, against brute force with small blocks."""
+    monkeypatch.setattr("strophe.llm.near_dedup.BLOCK", 5)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for k in r.sample(range(60), r.choice([0, 1, 2, 3, 4, 5, 6])):
+            words[k] = f"x{r.randrange(40)}"
+        texts[i] = " ".join(words)
+    texts[60] = " ".join(f"v{i}" for i in range(30_000))
+    texts[61] = texts[60] + " more"
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 80).collect()}
+    assert found == brute_components(texts, 3, 80) and len({c for _, c in found.values()}) > 3
+    assert near_dedup.shared_sizes([np.array([1, 4, 9], np.uint64), np.array([2], np.uint64)], [np.array([4, 9, 10], np.uint64)], 1).tolist() == [[2], [0]]
+
+
 def test_digest_helper():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
