@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import labels, outlines, records, relations, structures, texts
+from . import details, labels, outlines, records, relations, structures, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | relations.QUERIES | structures.QUERIES | outlines.QUERIES | records.QUERIES | labels.QUERIES
-ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | relations.ORACLE_SQL | structures.ORACLE_SQL | outlines.ORACLE_SQL | records.ORACLE_SQL | labels.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | relations.QUERIES | structures.QUERIES | outlines.QUERIES | records.QUERIES | labels.QUERIES | details.QUERIES
+ORACLE_SQL: dict[str, str] = texts.ORACLE_SQL | relations.ORACLE_SQL | structures.ORACLE_SQL | outlines.ORACLE_SQL | records.ORACLE_SQL | labels.ORACLE_SQL | details.ORACLE_SQL

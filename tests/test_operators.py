@@ -281,3 +281,20 @@ def test_tiles_and_ranks_count_equal_values(spark):
         for i, v in enumerate(own):
             tiles.setdefault(i * 10 // len(own), []).append(v)
         assert {t: (len(x), sum(x)) for t, x in tiles.items()} == {t: x for (j, t), x in found.items() if j == k}
+
+
+def test_minted_ids_are_version_five(spark):
+    import uuid
+
+    from strophe.plans.details import uuid5
+
+    names = ["", "a", "https://example.org/x", "漢字 é"]
+    found = spark.createDataFrame([(n,) for n in names], "n string").select("n", uuid5(F.col("n")).alias("u")).collect()
+    assert {r.n: r.u for r in found} == {n: str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names}
+
+
+def test_quotations_nest_and_split(spark):
+    from strophe.functions import quotes
+
+    assert quotes.quotations("「a『b』」」「c") == [(0, 6, 1), (2, 5, 2)]
+    assert quotes.quotations(None) == [] and quotes.pieces("a、「b、c」、、d", "、") == [(0, 1), (2, 7), (9, 10)]
