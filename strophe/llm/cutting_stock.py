@@ -7,6 +7,10 @@ from typing import NamedTuple
 import numpy as np
 
 
+GAP = 0.005  # of the bound: how near to it the linear program must come
+SEVERAL = 2  # patterns that a knapsack prices at most
+
+
 class Pattern(NamedTuple):
     """A way to fill a sequence: how many pieces of which lengths, and how many sequences are filled so."""
 
@@ -15,25 +19,55 @@ class Pattern(NamedTuple):
     times: int
 
 
-def best_pattern(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the pattern of the largest value. lengths ascend."""
+def filled(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming over the capacity: the largest value of each room, and the length last put
+    into it (-1: none). lengths ascend."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     reach = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         if k := reach[c]:
             gains = best[c - lengths[:k]] + values[:k]
             i = int(gains.argmax())
             if gains[i] > best[c] + 1e-12:
                 best[c], last[c] = gains[i], i
-    counts, c = np.zeros(len(lengths)), capacity
-    while c > 0:
-        if last[c] >= 0:
-            counts[last[c]] += 1
-            c -= lengths[last[c]]
+    return best, last
+
+
+def pattern(last: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
+    """How many of each length fill the room best, by filled()."""
+    counts = np.zeros(len(lengths))
+    while room > 0:
+        if last[room] >= 0:
+            counts[last[room]] += 1
+            room -= lengths[last[room]]
         else:
-            c -= 1
-    return float(best[capacity]), counts
+            room -= 1
+    return counts
+
+
+def best_pattern(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The pattern of the largest value."""
+    best, last = filled(values, lengths, capacity)
+    return float(best[capacity]), pattern(last, lengths, capacity)
+
+
+def priced(prices: np.ndarray, lengths: np.ndarray, capacity: int, several: int) -> tuple[float, list[np.ndarray]]:
+    """The largest value of a pattern, and up to `several` patterns worth more than a sequence: the best ones that hold this
+    or that length, the most valuable first."""
+    values = np.maximum(prices, 0)
+    best, last = filled(values, lengths, capacity)
+    worth = values + best[capacity - lengths]
+    found, seen = [], set()
+    for i in np.argsort(-worth, kind="stable"):
+        if worth[i] <= 1 + 1e-9 or len(found) == several:
+            break
+        counts = pattern(last, lengths, capacity - int(lengths[i]))
+        counts[i] += 1
+        if counts.tobytes() not in seen:
+            seen.add(counts.tobytes())
+            found.append(counts)
+    return float(best[capacity]), found
 
 
 def first_basis(demand: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,42 +96,52 @@ def first_basis(demand: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple
     return columns, x
 
 
-def relaxed(demand: np.ndarray, lengths: np.ndarray, capacity: int, gap: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The linear program min sum(x), A x = demand, x >= 0 over patterns that the knapsack prices.
+def relaxed(demand: np.ndarray, lengths: np.ndarray, capacity: int, gap: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The linear program min sum(x), A x >= demand, x >= 0 over all patterns, by column generation.
 
-    Ends when no pattern improves it, when Farley's bound shows it within `gap` of the least number of
-    sequences or the tokens themselves need all but one of them, or after `most` columns: any basis met on the
-    way is a whole plan, which rounding completes.
-    Returns the basis' patterns as columns (a column of one -1 is surplus) and their amounts.
+    Each round solves the knapsack once; the patterns that it prices enter one after another while they still improve the
+    plan. Surplus, a column of one -1, enters only when no pattern does. Ends at the optimum, where the bound shows that
+    no plan has a sequence less, or within `gap` of the bound, which is the larger of the tokens' own need and of Farley's
+    bound, demand at the prices over the most valuable pattern's value. Returns the basis' patterns as columns, their
+    amounts, and the bound.
     """
     m = len(lengths)
     columns, x = first_basis(demand, lengths, capacity)
-    inverse, cost, least = np.linalg.inv(columns), np.ones(m), lengths @ demand / capacity
-    for _ in range(most):
+    inverse, cost, least = np.linalg.inv(columns), np.ones(m), float(lengths @ demand / capacity)
+    whole = lambda v: np.ceil(v - 1e-6)
+    while True:
         prices = np.einsum("i,ij->j", cost, inverse)  # small products: einsum starts no threads
-        if prices.min() < -1e-9:  # more of that length than asked for would cost less
-            enters, price = np.zeros(m), 0.0
-            enters[prices.argmin()] = -1
-        else:
-            value, enters = best_pattern(np.maximum(prices, 0), lengths, capacity)
-            price = 1.0
-            if value <= 1 + 1e-9 or value <= 1 / (1 - gap) or x.sum() < least + 1:
-                break
-        step = np.einsum("ij,j->i", inverse, enters)
-        up = step > 1e-9
-        if not up.any():
+        value, patterns = priced(prices, lengths, capacity, SEVERAL)
+        least = max(least, float(demand @ np.maximum(prices, 0)) / value)
+        total = float(cost @ x)
+        if whole(total) <= whole(least) or total - least <= gap * least:
             break
-        ratios = np.full(m, np.inf)
-        ratios[up] = x[up] / step[up]
-        out = int(ratios.argmin())
-        amount = ratios[out]
-        x = np.maximum(x - amount * step, 0)
-        x[out] = amount
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
-        columns[:, out], cost[out] = enters, price
-    return columns, x
+        entering = [(p, 1.0) for p in patterns]
+        if not entering and prices.min() < -1e-9:
+            entering = [(-np.eye(m)[prices.argmin()], 0.0)]
+        moved = False
+        for enters, price in entering:
+            gain = float(prices @ enters) - price
+            if gain <= 1e-9:
+                continue
+            step = np.einsum("ij,j->i", inverse, enters)
+            up = step > 1e-9
+            if not up.any():
+                continue
+            ratios = np.full(m, np.inf)
+            ratios[up] = x[up] / step[up]
+            out = int(ratios.argmin())
+            amount = ratios[out]
+            x = np.maximum(x - amount * step, 0)
+            x[out] = amount
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+            prices = prices - gain * row
+            columns[:, out], cost[out], moved = enters, price, True
+        if not moved:
+            break
+    return columns, x, least
 
 
 def fill_best(rest: np.ndarray, lengths: np.ndarray, capacity: int) -> list[Pattern]:
@@ -138,7 +182,7 @@ def _fullest(rest: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
     return chosen
 
 
-def plan(histogram: dict[int, int], capacity: int, gap: float = 0.002, most: int = 200) -> list[Pattern]:
+def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> list[Pattern]:
     """Patterns whose pieces are exactly those of the histogram (length -> how many; 1 <= length <= capacity)."""
     full = histogram.get(capacity, 0)
     found = [Pattern((capacity,), (1,), full)] if full else []
@@ -146,7 +190,7 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = 0.002, most: int
     if not len(lengths):
         return found
     demand = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    columns, x = relaxed(demand.astype(float), lengths, capacity, gap, most)
+    columns, x, _ = relaxed(demand.astype(float), lengths, capacity, gap)
     rest = demand.copy()
     for j in np.argsort(-x, kind="stable"):
         counts, times = columns[:, j].astype(np.int64), int(np.floor(x[j] + 1e-9))
