@@ -32,7 +32,7 @@ class ChunkEncoder:
     no white space, so a text of such words is encoded word by word. Any other text goes to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 100_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -146,7 +146,8 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col
 
     A document's ids are the library's, without special tokens added, then END_ID; a null or empty text is
     END_ID alone, a null id stays null, and repeated rows are packed once each. Each document is cut at
-    multiples of the capacity; whole pieces fill a sequence each, the last piece of each document is an item of
+    multiples of the capacity (so a text of any length is packed whole; an empty table gives no rows; other columns, whatever
+    their names, aren't looked at); whole pieces fill a sequence each, the last piece of each document is an item of
     the cutting-stock problem over the histogram of lengths (at most `capacity` numbers reach the driver). Its
     linear program is solved by column generation, patterns are rounded down, and what is left, fewer pieces
     than a thousand sequences hold, is fitted. Pieces are ranked within their length, in BUCKETS parts so that
