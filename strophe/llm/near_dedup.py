@@ -323,18 +323,22 @@ def grouped(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str
     links = table(verified(star, texts, width, percent), "links")
     dropped(texts, star)
 
-    labels = lambda links: components(links, "x", "y").select(F.col("id").alias("rep"), "component")
-    labelled = live.join(labels(links), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    labels = lambda links: table(components(links, "x", "y").select(F.col("id").alias("rep"), "component"), "labels")
+    found = labels(links)
+    labelled = live.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     shares = labelled.groupBy("key", "component").agg(F.count("*").alias("of"))
     several = shares.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("of", "component")).alias("most")).where("several > 1").select("key", F.col("most.component").alias("largest"))
     open_ = table(labelled.join(several, "key").select("key", "rep", "component", (F.col("component") != F.col("largest")).alias("outside")), "open")
     dropped(live, marks)
-    near = table(worth_comparing(open_.join(reps.select("rep", "n", "bits", "keys"), "rep").withColumn("one", F.lit(1)), percent, bands), "near")
-    texts = texts_of(table(near.select("rep").distinct(), "wanted"), reps, docs)
-    both = near.join(open_, ["key", "rep"]).join(reps.select("rep", "n"), "rep").join(texts, "rep")
-    links = links.union(table(linked_in_blocks(both, width, percent), "more"))
-    found = labels(links)
-    dropped(texts, open_, near)
+    if not open_.isEmpty():
+        near = table(worth_comparing(open_.join(reps.select("rep", "n", "bits", "keys"), "rep").withColumn("one", F.lit(1)), percent, bands), "near")
+        texts = texts_of(table(near.select("rep").distinct(), "wanted"), reps, docs)
+        both = near.join(open_, ["key", "rep"]).join(reps.select("rep", "n"), "rep").join(texts, "rep")
+        more = table(linked_in_blocks(both, width, percent), "more")
+        if not more.isEmpty():
+            found = labels(links.union(more))
+        dropped(texts, near)
+    dropped(open_)
 
     classes = reps.select("fingerprint", "rep", "doc_id").join(found, "rep", "left").select("fingerprint", "doc_id", F.coalesce("component", "rep").alias("group"))
     least = classes.groupBy("group").agg(F.min("doc_id").alias("component_id"))
