@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +37,18 @@ def test_any_text_counts_and_encodes_alike(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_the_whole_vocabulary_and_of_real_texts_are_the_libraries():
+    words = [w for w in (TOKENIZER.decode([i]) for i in range(TOKENIZER.get_vocab_size())) if w and "\ufffd" not in w]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)]
+    folder = Path("/root/testdata/sf0.01/documents.parquet")
+    if folder.exists():
+        import pyarrow.parquet as pq
+
+        texts += pq.read_table(folder, columns=["text"]).column("text").to_pylist()
+    for text, right in zip(texts, TOKENIZER.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == right.ids
+
+
 def test_kept_counts_are_bounded():
     small = MergeCounter.from_model(PIECES, keep=3)
     assert [small.count(t) for t in ODD * 2] == [COUNTER.count(t) for t in ODD * 2]
