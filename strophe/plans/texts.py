@@ -255,10 +255,10 @@ def density_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT page_id, len(a) AS n_links, a[1] AS first_link, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
-    length(trim(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*(<[^/][^<]*|</p>[^<]*)*</(script|style)>|<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS n_text
+    length(trim(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS n_text
     FROM (SELECT page_id, html, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS a FROM pages)""")
 def html_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.regexp_replace("html", r"<(script|style)[^>]*>[^<]*(<[^/][^<]*|</p>[^<]*)*</(script|style)>|<[^>]+>", " ")
+    bare = F.regexp_replace("html", r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]+>", " ")
     links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
     return load(spark, sf_dir, "pages").select("page_id", F.size(links).cast("bigint").alias("n_links"), F.try_element_at(links, F.lit(1)).alias("first_link"), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.length(F.trim(F.regexp_replace(bare, "[ \\t\\r\\n]+", " "))).cast("bigint").alias("n_text"))
 
@@ -274,10 +274,10 @@ def contamination_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda table: load(spark, sf_dir, table).withColumn("w", F.split(F.lower("text"), " "))
     windows = F.expr("IF(size(w) > 7, transform(sequence(1, size(w) - 7), i -> array_join(slice(w, i, 8), ' ')), array())")
     marked = F.transform(windows, lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit("again"), g).alias("i")))
-    grams = lambda table, key: words(table).select(key, F.explode(F.array_distinct(marked)).alias("g")).select(key, "g.h", "g.i")
-    known = grams("benchmark", "item_id")
+    grams = lambda table, key: words(table).select(key, F.explode(marked).alias("g")).select(key, "g.h", "g.i")
+    known = grams("benchmark", "item_id").distinct()
     # two hashes stand for a window of eight words, so that a document's words aren't repeated in each of its windows
     if known.count() <= 1_000_000:
         known = F.broadcast(known)
-    shared = grams("documents", "doc_id").join(known, ["h", "i"])
+    shared = grams("documents", "doc_id").join(known, ["h", "i"]).distinct()  # what a document repeats counts once
     return shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
