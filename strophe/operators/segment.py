@@ -24,9 +24,7 @@ def folded(values: Column, zero: Column, step, out: str) -> Column:
     An array grows by copying, so emitted values are gathered in blocks of BLOCK and blocks are joined: copies per value are
     BLOCK / 2 and, of long arrays, a share of their length / BLOCK.
     """
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
     empty = F.array().cast(f"array<{out}>")
-    start = F.struct(zero.alias("state"), empty.alias("out"))
 
     def one(a: Column, x: Column) -> Column:
         made = step(a["state"], x)
@@ -36,7 +34,12 @@ def folded(values: Column, zero: Column, step, out: str) -> Column:
         inner = F.aggregate(xs, F.struct(a["state"].alias("state"), empty.alias("out")), one)
         return F.struct(inner["state"].alias("state"), F.concat(a["out"], inner["out"]).alias("out"))
 
-    return F.aggregate(blocks, start, block, lambda a: a["out"])
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(zero.alias("state"), empty.alias("out"))
+        return F.when(F.size(v) <= BLOCK, F.aggregate(v, start, one, lambda a: a["out"])).otherwise(F.aggregate(blocks, start, block, lambda a: a["out"]))
+
+    return F.element_at(F.transform(F.array(values), whole), 1)  # so that the values are computed once, not again for each block
 
 
 def starts_of(lengths: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -271,10 +271,15 @@ def html_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contamination_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of eight words that a document shares with a benchmark item."""
 
-    words = lambda table: load(spark, sf_dir, table).withColumn("w", F.split(F.lower("text"), " "))
-    windows = F.expr("IF(size(w) > 7, transform(sequence(1, size(w) - 7), i -> array_join(slice(w, i, 8), ' ')), array())")
-    marked = F.transform(windows, lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit("again"), g).alias("i")))
-    grams = lambda table, key: words(table).select(key, F.explode(marked).alias("g")).select(key, "g.h", "g.i")
+    hashed = F.transform(F.split(F.lower("text"), " "), lambda w: F.xxhash64(w))
+
+    def windows(h: Column) -> Column:
+        own = lambda i: [F.get(h, i + k) for k in range(8)]
+        at = F.when(F.size(h) > 7, F.sequence(F.lit(0), F.size(h) - 8)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(*own(i)).alias("h"), F.xxhash64(F.lit("again"), *own(i)).alias("i")))
+
+    marked = F.element_at(F.transform(F.array(hashed), windows), 1)
+    grams = lambda table, key: load(spark, sf_dir, table).select(key, F.explode(marked).alias("g")).select(key, "g.h", "g.i")
     known = grams("benchmark", "item_id").distinct()
     # two hashes stand for a window of eight words, so that a document's words aren't repeated in each of its windows
     if known.count() <= 1_000_000:
