@@ -69,12 +69,16 @@ def tiled_ends(nodes: DataFrame, last: Column) -> DataFrame:
 
 def admissible(nodes: DataFrame, top: int) -> DataFrame:
     """(tree, id, lo, hi): where a span of the node may lie: inside all ancestors' spans, not before an elder sibling's end nor
-    after the next younger sibling's start. nodes: (tree, id, parent, ord, start, end), null without a span; a null end is the start."""
+    after the next younger sibling's start. nodes: (tree, id, parent, ord, start, end), null without a span; a null end is the start.
+
+    What comes after is read backwards: a frame that ends at the last row is computed anew for each row of a family.
+    """
     w = Window.partitionBy("tree", "parent").orderBy("ord", "id")
+    back = Window.partitionBy("tree", "parent").orderBy(F.desc("ord"), F.desc("id"))
     reach = F.coalesce("end", "start")
     base = nodes.withColumns({
         "elder_": F.max(F.when(F.col("start").isNotNull(), reach)).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "younger_": F.first("start", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "younger_": F.last("start", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
     })
     bounds = lambda lo, hi: F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
     within = lambda a: bounds(F.greatest(a["lo"], "start"), F.least(a["hi"], F.when(F.col("start").isNotNull(), F.col("end"))))

@@ -104,9 +104,10 @@ def chart_parents(items: DataFrame, by: list[str], order: str) -> DataFrame:
 def unit_ends(units: DataFrame, by: list[str], order: str, level: str, last: Column) -> DataFrame:
     """units with `end_at`: the place before the next unit of the same or a shallower level; `last` for those without one.
 
-    One aggregate per level: a unit's bar is the next place at any level up to its own.
+    One aggregate per level: a unit's bar is the next place at any level up to its own. Units are read backwards, since a frame that
+    ends at the last row is computed anew for each row.
     """
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     levels = [r[0] for r in units.select(level).distinct().orderBy(level).collect()]  # levels of a tree are few
     following = F.lit(None).cast("bigint")
     bars = []

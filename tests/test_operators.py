@@ -1,11 +1,12 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from strophe.functions import search
 from strophe.functions import text as T
-from strophe.operators import formula, graph, intervals, match, measure, outline, segment, sequences, tree
+from strophe.operators import formula, graph, intervals, match, measure, outline, outlines, segment, sequences, tree
 from strophe.sources import markup
 from strophe.streaming import events
 
@@ -298,3 +299,14 @@ def test_quotations_nest_and_split(spark):
 
     assert quotes.quotations("「a『b』」」「c") == [(0, 6, 1), (2, 5, 2)]
     assert quotes.quotations(None) == [] and quotes.pieces("a、「b、c」、、d", "、") == [(0, 1), (2, 7), (9, 10)]
+
+
+def test_what_follows_in_a_large_family_takes_linear_time(spark):
+    n, began = 100_000, time.time()
+    kids = spark.range(1, n + 1).selectExpr("'t' tree", "id", "CAST(0 AS BIGINT) parent", "id ord", "CASE WHEN id % 3 <> 0 THEN id * 10 END start", "CASE WHEN id % 3 = 1 THEN id * 10 + 4 END end")
+    root = spark.range(1).selectExpr("'t' tree", "id", "CAST(NULL AS BIGINT) parent", "id ord", "CAST(0 AS BIGINT) start", "CAST(2000000 AS BIGINT) end")
+    found = outlines.admissible(kids.union(root), 5_000_000).where("id % 3 = 0 AND id > 0 OR id = 100000").orderBy("id").collect()
+    assert [(x.lo, x.hi) for x in found] == [(k * 10 - 10, k * 10 + 10) if k < n else (n * 10 - 20, 2_000_000) for k in [*range(3, n, 3), n]]
+    ends = sequences.unit_ends(kids.selectExpr("tree", "id", "id % 2 AS level"), ["tree"], "id", "level", F.lit(n)).orderBy("id").collect()
+    assert [x.end_at for x in ends] == [min(k + 1, n) if k % 2 == 0 else k if k < n else n for k in range(1, n + 1)]
+    assert time.time() - began < 60
