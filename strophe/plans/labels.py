@@ -12,7 +12,7 @@ from ..sources import markup
 from .outlines import CHAINED_SQL, chained
 from .records import first_of
 from .relations import NODES_SQL, SPANS_SQL, event_spans, nodes_of
-from .tables import load
+from .tables import load, spread
 from .texts import LINES_SQL, lines_of
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -66,10 +66,10 @@ def genre_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts have no structure to look for: by their title, or by how few announcements a thousand characters hold."""
     k = F.col("p_partkey")
     said = F.when(k % 3 == 0, F.concat(F.lit("文分為二段。一天文、二地文。初天文者，是。二地文者，是。"), F.repeat(F.lit("甲"), 13))).otherwise(F.repeat(F.lit("乙"), 20))
-    docs = load(spark, sf_dir, "part").select(k.alias("doc_id"), F.concat(said, F.when(k % 7 == 0, F.repeat(F.lit("丙"), 5000)).otherwise("")).alias("text"), F.when(k % 5 == 0, "音義").otherwise("疏").alias("title"))
+    docs = spread(load(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("doc_id"), F.concat(said, F.when(k % 7 == 0, F.repeat(F.lit("丙"), 5000)).otherwise("")).alias("text"), F.when(k % 5 == 0, "音義").otherwise("疏").alias("title"))
     counts = formula.statements_of(docs, formula.CJK).where("kind = 'announce'").groupBy("doc_id").agg(F.count("*").alias("n"))
-    density = F.lit(1000.0) * F.coalesce("n", F.lit(0)) / F.length("text")
-    return docs.join(counts, "doc_id", "left").select("doc_id", F.when(F.col("title").rlike("音義$"), "title").when(density < 0.4, "sparse").otherwise("structured").alias("verdict"))
+    density = F.lit(1000.0) * F.coalesce("n", F.lit(0)) / F.col("n_chars")
+    return docs.select("doc_id", "title", F.length("text").alias("n_chars")).join(counts, "doc_id", "left").select("doc_id", F.when(F.col("title").rlike("音義$"), "title").when(density < 0.4, "sparse").otherwise("structured").alias("verdict"))
 
 
 # ---- quotations and labels -------------------------------------------------------------------------------------------

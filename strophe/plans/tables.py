@@ -7,3 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over as many tasks as a shuffle has: a small file, or one with few row groups, is read by a few, which would also do
+    all the work that follows. For narrow rows whose processing costs far more than moving them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

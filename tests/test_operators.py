@@ -310,3 +310,29 @@ def test_what_follows_in_a_large_family_takes_linear_time(spark):
     ends = sequences.unit_ends(kids.selectExpr("tree", "id", "id % 2 AS level"), ["tree"], "id", "level", F.lit(n)).orderBy("id").collect()
     assert [x.end_at for x in ends] == [min(k + 1, n) if k % 2 == 0 else k if k < n else n for k in range(1, n + 1)]
     assert time.time() - began < 60
+
+
+def test_anchored_rules_find_what_a_plain_search_does():
+    r = random.Random(3)
+    parts = {"CJK": ["分為", "大分", "略有", "有", "二", "三", "十", "段", "。", "，", "一", "、", "初", "第", "者", "中", "已竟", "竟", "訖", "\n", "甲", "甲乙丙丁戊己庚辛壬癸"], "LATIN": ["has", "have", " in", " ", "two ", "three ", "parts", "kinds", ":", " first, ", "a", "; ", "First ", "This ends ", ". ", "\n", "x" * 15, "3 points"]}
+    for name, words in parts.items():
+        for rule in getattr(formula, name):
+            for _ in range(400):
+                text = "".join(r.choices(words, k=r.randint(0, 60)))
+                assert [m.span() for m in formula.matches(rule, text)] == [m.span() for m in formula.re.finditer(rule.pattern, text)], (rule.name, text)
+
+
+def test_scanning_tries_no_start_far_from_an_anchor():
+    text = "丙" * 3_000_000 + "文分為二段。"
+    began = time.time()
+    assert [(s["kind"], s["char_start"]) for s in formula.scan(text, formula.CJK)] == [("announce", 2_999_989)]
+    assert time.time() - began < 2
+
+
+def test_texts_made_of_small_rows_are_spread(spark, tmp_path):
+    from strophe.plans import labels
+
+    spark.range(1000).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("genre_gate",):
+        assert "RoundRobin" not in (plan := labels.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString())
+        assert plan.rindex("MapInArrow") < plan.rindex("REPARTITION_BY_NUM")
