@@ -41,7 +41,7 @@ def divided(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.concat(F.lit("文分為二段。一"), a, F.lit("文、二"), b, F.lit("文。"))
     body = F.concat(F.lit("初"), a, F.lit("文者，此即是。二"), b, F.lit("文者，亦復然。"))
     text = F.when(F.col("p_partkey") % 4 == 0, F.concat(two, body)).otherwise(F.concat(three, body, F.lit("三"), c, F.lit("文者，如後。")))
-    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return spread(load(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
 @query(f"""WITH {DIVIDED_SQL} SELECT doc_id, 'announce' AS kind, 1 AS n, CASE WHEN two THEN 2 ELSE 3 END AS total, CASE WHEN two THEN a || '文 / ' || b || '文' ELSE a || '文 / ' || b || '文 / ' || c || '文' END AS labels FROM dv

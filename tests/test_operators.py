@@ -333,6 +333,6 @@ def test_texts_made_of_small_rows_are_spread(spark, tmp_path):
     from strophe.plans import labels
 
     spark.range(1000).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
-    for name in ("genre_gate",):
+    for name in ("outline_build", "genre_gate", "statement_scan"):
         assert "RoundRobin" not in (plan := labels.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString())
         assert plan.rindex("MapInArrow") < plan.rindex("REPARTITION_BY_NUM")
