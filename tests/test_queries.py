@@ -47,3 +47,15 @@ def test_rows_are_those_of_the_sql(spark, database, name):
 def test_queries_without_sql_give_rows(spark):
     for name in sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)):
         assert catalogue.QUERIES[name](spark, str(SMALL)).columns
+
+
+def test_pairs_of_repeated_keys_come_once_and_are_not_kept(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE supplier AS SELECT CASE WHEN i % 11 <> 0 THEN i % 120 END AS s_suppkey, CAST(CASE WHEN i % 7 <> 0 THEN i % 3 END AS INTEGER) AS s_nationkey FROM range(300) r(i)")
+    con.execute("CREATE TABLE customer AS SELECT CASE WHEN i % 13 <> 0 THEN i % 160 END AS c_custkey, CAST(CASE WHEN i % 5 <> 0 THEN i % 4 END AS INTEGER) AS c_nationkey FROM range(500) r(i)")
+    for t in ("supplier", "customer"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    found = catalogue.QUERIES["matches_by_any_key"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalogue.ORACLE_SQL["matches_by_any_key"]).fetchall())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and plan.index("Union") < plan.index("Aggregate")  # aggregates are of keys, below the joins
