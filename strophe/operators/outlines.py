@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,13 +90,86 @@ def admissible(nodes: DataFrame, top: int) -> DataFrame:
     return found.select("tree", "id", F.greatest(F.col("state.own.lo"), "elder_").alias("lo"), F.least(F.col("state.own.hi"), "younger_").alias("hi"))
 
 
+#: A tree of at most so many nodes is read whole in one task; levels below DEEPEST are an error.
+WHOLE, DEEPEST = 10_000, 64
+
+
+def chain_lengths(ids: list, parents: list, deepest: int) -> dict | None:
+    """The length of the chain that each head begins, of one tree's nodes; None if a level lies below `deepest` or an id is null or repeated."""
+    if None in ids or len(set(ids)) < len(ids):
+        return None
+    kids: dict = {}
+    for i, p in zip(ids, parents):
+        if p is not None:
+            kids.setdefault(p, []).append(i)
+    level, lengths = [(i, i, 1) for i, p in zip(ids, parents) if p is None], {}
+    for _ in range(deepest):
+        below = []
+        for i, head, at in level:
+            own = kids.get(i, ())
+            if len(own) == 1:
+                below.append((own[0], head, at + 1))
+            else:
+                lengths[head] = at
+                below.extend((k, k, 1) for k in own)
+        level = below
+    return None if level else lengths
+
+
 def single_chains(nodes: DataFrame) -> DataFrame:
-    """(tree, id, length): how many nodes hang on one another from here down, each the only child of the one before."""
+    """(tree, id, length): how many nodes hang on one another from here down, each the only child of the one before.
+
+    Trees of at most WHOLE nodes are each read whole, so their nodes are shuffled once, however deep they are; what is left (larger
+    trees, null or repeated ids) is walked level by level.
+    """
+    kind = {c: nodes.schema[c].dataType.simpleString() for c in ("tree", "id")}
+    rows = nodes.select("tree", "id", F.col("parent").cast(kind["id"]).alias("parent")).repartition("tree").sortWithinPartitions("tree")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        types = None
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["tree", "id", "parent", "length"])
+            out.clear()
+            return made
+
+        def close() -> None:
+            found = chain_lengths(ids, parents, DEEPEST) if tree is not None and not large else None
+            out.extend(((tree, i, None, n) for i, n in found.items()) if found is not None else ((tree, i, p, None) for i, p in zip(ids, parents)))
+            ids.clear()
+            parents.clear()
+
+        tree, ids, parents, large = None, [], [], False
+        for b in batches:
+            types = [*b.schema.types, pa.int64()]
+            for t, i, p in zip(*(c.to_pylist() for c in b.columns)):
+                if t != tree:
+                    close()
+                    tree, large = t, False
+                ids.append(i)
+                parents.append(p)
+                if len(ids) > WHOLE:
+                    large = True
+                    close()
+                if len(out) >= WHOLE:
+                    yield batch()
+        close()
+        if out:
+            yield batch()
+
+    done = table(rows.mapInArrow(whole, f"tree {kind['tree']}, id {kind['id']}, parent {kind['id']}, length long"), "chains")
+    found, left = done.where("length IS NOT NULL").select("tree", "id", "length"), done.where("length IS NULL").drop("length")
+    return found if left.isEmpty() else found.unionByName(walked_chains(left))
+
+
+def walked_chains(nodes: DataFrame) -> DataFrame:
+    """single_chains(), level by level."""
     kids = nodes.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("id")).agg(F.count("*").alias("kids_"))
     base = nodes.join(kids, ["tree", "id"], "left").withColumn("single_", F.coalesce(F.col("kids_") == 1, F.lit(False)))
     seed = F.struct(F.col("id").alias("head"), F.lit(1).cast("bigint").alias("at"), F.col("single_").alias("goes"))
     step = lambda a: F.struct(F.when(a["goes"], a["head"]).otherwise(F.col("id")).alias("head"), F.when(a["goes"], a["at"] + 1).otherwise(1).alias("at"), F.col("single_").alias("goes"))
-    return walked(base, seed, step).groupBy("tree", F.col("state.head").alias("id")).agg(F.max("state.at").alias("length"))
+    return walked(base, seed, step, DEEPEST).groupBy("tree", F.col("state.head").alias("id")).agg(F.max("state.at").alias("length"))
 
 
 def least_below(tree: DataFrame, value: str) -> DataFrame:

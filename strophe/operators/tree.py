@@ -12,10 +12,11 @@ def walked(nodes: DataFrame, seed: Column, step, most: int = 64) -> DataFrame:
     """nodes with a column `state`, carried from the roots down: `seed` at a root, step(parent's state) below it.
 
     A loop over levels; each level is one equi-join of the level above with its children, written as a table, so the
-    number of jobs is the depth, whatever the size, and no level is computed twice. Nodes that no root reaches are left
-    out; nodes below level `most` are an error.
+    number of jobs is the depth, whatever the size, and neither the nodes nor a level are computed twice. Nodes that no
+    root reaches are left out; nodes below level `most` are an error.
     """
-    rest = nodes.alias("n")
+    nodes = table(nodes, "nodes")
+    rest = nodes.where("parent IS NOT NULL").alias("n")
     level = table(nodes.where("parent IS NULL").withColumn("state", seed), "level")
     found, depth = level, 1
     while True:

@@ -208,8 +208,8 @@ CHAINED_SQL = """ln AS (SELECT l_orderkey AS tree, row_number() OVER (PARTITION
 
 def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order, each below the one before or, every third quantity, below the first."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("tree"), F.row_number().over(w).cast("bigint").alias("ord"), F.col("l_quantity").cast("bigint").alias("q"))
+    w = Window.partitionBy("tree").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    rows = load(spark, sf_dir, "lineitem").withColumn("tree", F.col("l_orderkey").cast("string")).select("tree", F.row_number().over(w).cast("bigint").alias("ord"), F.col("l_quantity").cast("bigint").alias("q"))
     name = lambda k: F.concat("tree", F.lit("-"), k.cast("string"))
     return rows.select("tree", name(F.col("ord")).alias("id"), F.when(F.col("ord") > 1, name(F.when(F.col("q") % 3 == 0, 1).otherwise(F.col("ord") - 1))).alias("parent"), "ord", "q")
 

@@ -336,3 +336,24 @@ def test_texts_made_of_small_rows_are_spread(spark, tmp_path):
     for name in ("outline_build", "genre_gate", "statement_scan"):
         assert "RoundRobin" not in (plan := labels.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString())
         assert plan.rindex("MapInArrow") < plan.rindex("REPARTITION_BY_NUM")
+
+
+def test_chains_of_small_trees_take_no_walk_and_others_are_the_same(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(f"t{k}", f"n{i}", None if i == 0 or r.random() < 0.05 else f"n{r.randint(max(0, i - 2), i - 1)}") for k in range(40) for i in range(r.randint(1, 7))]
+    rows += [("loop", "a", "b"), ("loop", "b", "a"), ("loop", "r", None), ("orphan", "x", "y"), ("orphan", "r", None), ("orphan", "s", "r")]
+    odd = [(None, "a", None), (None, "b", "a"), ("null", None, None), ("null", "c", None), ("twice", "a", None), ("twice", "b", "a"), ("twice", "b", "a"), ("twice", "c", "b")]
+    frame = lambda x: spark.createDataFrame(x, "tree string, id string, parent string")
+    key = lambda df: sorted(map(str, df.collect()))
+    wanted, wanted_odd = key(outlines.walked_chains(frame(rows))), key(outlines.walked_chains(frame(rows + odd)))
+    assert key(outlines.single_chains(frame(rows + odd))) == wanted_odd
+    monkeypatch.setattr(outlines, "WHOLE", 4)
+    assert key(outlines.single_chains(frame(rows + odd))) == wanted_odd
+    monkeypatch.setattr(outlines, "WHOLE", 10_000)
+    monkeypatch.setattr(outlines, "DEEPEST", 7)
+    deep = [("d", i, i - 1 if i > 1 else None) for i in range(1, 9)]
+    with pytest.raises(ValueError):
+        outlines.single_chains(spark.createDataFrame(deep, "tree string, id long, parent long"))
+    monkeypatch.setattr(tree, "table", None)
+    assert key(outlines.single_chains(frame(rows))) == wanted
+    assert outlines.single_chains(spark.createDataFrame(deep[:7], "tree string, id long, parent long")).head().length == 7
