@@ -10,7 +10,7 @@ from ..operators import graph, match, outline, segment, tree
 from ..sources import markup
 from ..streaming import events as streams
 from .relations import NODES_SQL, WALK_SQL, nodes_of
-from .tables import load
+from .tables import load, spread
 from .texts import LINES_SQL, PACK_SQL
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -32,7 +32,7 @@ def tei_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     lines = F.transform(F.split(escaped, "\n"), lambda x, i: F.concat(F.lit('<lb n="'), F.lpad(i.cast("string"), 6, "0"), F.lit('"/>'), x))
     xml = F.encode(F.concat(F.lit("<TEI><teiHeader><title>t</title></teiHeader><text>"), F.array_join(lines, ""), F.lit("</text></TEI>")), "UTF-8")
-    files = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("text_id"), xml.alias("content"))
+    files = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("string").alias("text_id"), xml.alias("content"))
     found, _ = markup.read_lines(files)
     return found.select(F.col("text_id").cast("bigint").alias("text_id"), "line_no", "linehead", F.length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("digest"))
 

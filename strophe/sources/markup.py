@@ -84,25 +84,35 @@ def parse_lines(xml: bytes, edition: str | None = None) -> list[dict]:
 def read_lines(files: DataFrame, edition: str | None = None, id_col: str = "text_id", content_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """(lines, errors) of XML files: a row per line, and a row per file that doesn't parse."""
 
-    def rows(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            for text_id, content in zip(pdf[id_col], pdf[content_col]):
-                try:
-                    found = parse_lines(bytes(content), edition)
-                except sax.SAXException as e:
-                    yield _frame([{"text_id": text_id, "error": str(e)[:200]}])
-                    continue
-                for at in range(0, len(found), 2000):
-                    yield _frame([{"text_id": text_id, "line_no": at + i, **x} for i, x in enumerate(found[at : at + 2000])])
+    item = lambda *fields: pa.list_(pa.struct(fields))
+    kinds = {
+        "text_id": pa.string(), "line_no": pa.int64(), "linehead": pa.string(), "text": pa.string(), "notes": item(("offset", pa.int32()), ("text", pa.string())),
+        "marks": item(("offset", pa.int32()), ("level", pa.int32()), ("text", pa.string())), "caesuras": pa.list_(pa.int32()), "in_verse": pa.bool_(), "n_alt": pa.int32(), "error": pa.string(),
+    }
 
-    names = [c.split(" ", 1)[0] for c in re.split(r", (?![^<]*>)", LINES)] + ["error"]
-
-    def _frame(items: list[dict]):
-        import pandas as pd
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = []
 
-        return pd.DataFrame([{n: x.get(n) for n in names} for x in items], columns=names)
+        def made(upto: int) -> pa.RecordBatch:
+            part = found[:upto]
+            del found[:upto]
+            return pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in part], k) for c, k in kinds.items()], names=list(kinds))
 
-    parsed = files.select(id_col, content_col).mapInPandas(rows, LINES + ", error string")
+        for b in batches:
+            for text_id, content in zip(b.column(0), b.column(1)):
+                name = text_id.as_py()
+                try:
+                    lines = parse_lines(content.as_py() or b"", edition)
+                except sax.SAXException as e:
+                    found.append({"text_id": name, "error": str(e)[:200]})
+                else:
+                    found.extend(x | {"text_id": name, "line_no": i} for i, x in enumerate(lines))
+                while len(found) >= 2000:
+                    yield made(2000)
+        if found:
+            yield made(2000)
+
+    parsed = files.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")).mapInArrow(rows, LINES + ", error string")
     return parsed.where("error IS NULL").drop("error"), parsed.where("error IS NOT NULL").select("text_id", "error")
 
 

@@ -357,3 +357,19 @@ def test_chains_of_small_trees_take_no_walk_and_others_are_the_same(spark, monke
     monkeypatch.setattr(tree, "table", None)
     assert key(outlines.single_chains(frame(rows))) == wanted
     assert outlines.single_chains(spark.createDataFrame(deep[:7], "tree string, id long, parent long")).head().length == 7
+
+
+def test_line_records_of_many_files_share_batches(spark):
+    files = spark.range(3000).selectExpr("CAST(id AS STRING) text_id", "CASE WHEN id % 1000 = 7 THEN NULL ELSE encode(concat('<TEI><text><lb n=\"1\"/>a', id, '<lb n=\"2\"/></text></TEI>'), 'UTF-8') END content").coalesce(1)
+    found, errors = markup.read_lines(files)
+    assert sorted(r.text_id for r in errors.collect()) == ["1007", "2007", "7"]
+    rows = found.orderBy(F.col("text_id").cast("int"), "line_no").select("text_id", "line_no", "linehead", "text").collect()
+    assert [tuple(r) for r in rows] == [x for i in range(3000) if i % 1000 != 7 for x in ((str(i), 0, "1", f"a{i}"), (str(i), 1, "2", ""))]
+
+
+def test_documents_are_spread_before_markup(spark, tmp_path):
+    from strophe.plans import structures
+
+    spark.range(50).selectExpr("id AS doc_id", "'a' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = structures.tei_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("MapInArrow") < plan.rindex("REPARTITION_BY_NUM")
