@@ -21,6 +21,18 @@ def kept_positions(text: Column) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
+def first_bare_hit(text: Column, needle: str) -> Column:
+    """(start, end_excl), in code points of the text, of the first place where strip_punct(text) holds the needle; null without one.
+
+    One search of the text itself, so nothing is made for each of its characters as by kept_positions().
+    """
+    form = f"{PUNCT}*".join(rf"\x{{{ord(c):x}}}" for c in needle)
+    before = F.length(F.element_at(F.split(text, form, 2), 1))
+    place = F.struct(before.alias("start"), (before + F.length(F.regexp_extract(text, form, 0))).alias("end_excl"))
+    bare = F.length(strip_punct(F.lit(needle))) == len(needle)  # a needle that strip_punct cuts is nowhere
+    return F.when((F.lit(len(needle)) > 0) & bare & text.rlike(form), place)
+
+
 def hits(text: Column, needle: Column) -> Column:
     """0-based offsets of all occurrences, overlapping ones too; none of an empty needle."""
     from ..operators.segment import starts_of

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import segment
-from .tables import load
+from .tables import load, spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -100,10 +100,9 @@ def find_all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH k AS (SELECT doc_id, text, regexp_replace(text, '[\p{P}\p{Z}\p{Cc}\p{Cf}]', '', 'g') AS s FROM documents), h AS (SELECT doc_id, len(string_split(s, 'nt')) - 1 AS n, instr(text, regexp_extract(text, 'n[\p{P}\p{Z}\p{Cc}\p{Cf}]*t')) AS hit, length(regexp_extract(text, 'n[\p{P}\p{Z}\p{Cc}\p{Cf}]*t')) AS m FROM k)
     SELECT doc_id, CAST(n AS BIGINT) AS n_hits, CASE WHEN n > 0 THEN hit - 1 END AS first_start, CASE WHEN n > 0 THEN hit - 1 + m END AS first_end_excl FROM h""")
 def find_hits_ignore_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = load(spark, sf_dir, "documents").select("doc_id", T.kept_positions(F.col("text")).alias("keep"), T.hits(T.strip_punct(F.col("text")), F.lit("nt")).alias("h"))
-    first = F.try_element_at("h", F.lit(1))
-    at = lambda k: F.when(first.isNotNull(), F.try_element_at("keep", F.coalesce(first + k, F.lit(1)))).cast("bigint")
-    return found.select("doc_id", F.size("h").cast("bigint").alias("n_hits"), at(1).alias("first_start"), (at(2) + 1).alias("first_end_excl"))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = docs.select("doc_id", T.hits(T.strip_punct(F.col("text")), F.lit("nt")).alias("h"), T.first_bare_hit(F.col("text"), "nt").alias("p"))
+    return found.select("doc_id", F.size("h").cast("bigint").alias("n_hits"), F.col("p.start").cast("bigint").alias("first_start"), F.col("p.end_excl").cast("bigint").alias("first_end_excl"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS x, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),

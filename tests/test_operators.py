@@ -373,3 +373,12 @@ def test_documents_are_spread_before_markup(spark, tmp_path):
     spark.range(50).selectExpr("id AS doc_id", "'a' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     plan = structures.tei_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("MapInArrow") < plan.rindex("REPARTITION_BY_NUM")
+
+
+def test_first_bare_hit_is_where_the_kept_characters_stand(spark):
+    r = random.Random(7)
+    texts = [("".join(r.choices("nnt.. ,a\n𠀀", k=r.randint(0, 12))), None) for _ in range(300)] + [(None, None), ("n" + " ." * 20_000 + "t", None)]
+    for needle in ("nt", "n", "t𠀀n", "a.", ""):
+        keep, hit = T.kept_positions(F.col("x")), F.try_element_at(T.hits(T.strip_punct(F.col("x")), F.lit(needle)), F.lit(1))
+        wanted = [None if k is None or h is None else (k[h], k[h + len(needle) - 1] + 1) for k, h in zip(values(spark, keep, texts), values(spark, hit, texts))]
+        assert [p and tuple(p) for p in values(spark, T.first_bare_hit(F.col("x"), needle), texts)] == wanted
