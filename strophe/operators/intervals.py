@@ -56,13 +56,18 @@ def merged(spans: DataFrame, by: list[str], start: str, end: str, adjacent: bool
 
 
 def tiles(spans: DataFrame, totals: DataFrame, by: list[str], start: str, end: str, total: str) -> DataFrame:
-    """(by, start, end, kind): disjoint spans and the gaps between, before and after them, which tile [0, total)."""
-    placed = spans.select(*by, F.col(start).alias("start"), F.col(end).alias("end"))
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    before = placed.select(*by, F.coalesce(F.lag("end").over(order), F.lit(0)).alias("from"), F.col("start").alias("to"))
-    last = totals.join(placed.groupBy(*by).agg(F.max("end").alias("from")), by, "left").select(*by, F.coalesce("from", F.lit(0)).alias("from"), F.col(total).alias("to"))
-    gaps = before.union(last).where("`from` < `to`").select(*by, F.col("from").alias("start"), F.col("to").alias("end"), F.lit("gap").alias("kind"))
-    return placed.withColumn("kind", F.lit("span")).union(gaps)
+    """(by, start, end, kind): disjoint spans and the gaps between, before and after them, which tile [0, total).
+
+    The totals stand after the spans as places to reach, so spans are read once, in one window. Null keys are one group.
+    """
+    placed = spans.select(*by, F.col(start).alias("start"), F.col(end).alias("end"), F.lit(False).alias("last_"))
+    rows = placed.union(totals.select(*by, F.col(total).alias("start"), F.lit(None).cast(placed.schema["end"].dataType).alias("end"), F.lit(True).alias("last_")))
+    order = Window.partitionBy(*by).orderBy("last_", "start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("from_", F.coalesce(F.when(F.col("last_"), reach).otherwise(F.lag("end").over(order)), F.lit(0)))
+    piece = lambda a, b, kind: F.struct(F.col(a).alias("start"), F.col(b).alias("end"), F.lit(kind).alias("kind"))
+    pieces = F.array(F.when(F.col("from_") < F.col("start"), piece("from_", "start", "gap")), F.when(~F.col("last_"), piece("start", "end", "span")))
+    return rows.select(*by, F.explode(pieces).alias("x")).where("x IS NOT NULL").select(*by, "x.start", "x.end", "x.kind")
 
 
 def runs(rows: DataFrame, by: list[str], order: str, value: Column) -> DataFrame:

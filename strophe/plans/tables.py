@@ -11,5 +11,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over as many tasks as a shuffle has: a small file, or one with few row groups, is read by a few, which would also do
-    all the work that follows. For narrow rows whose processing costs far more than moving them."""
+    all the work that follows. Nor are these tasks made fewer, so what one holds is its share. For rows whose processing costs far
+    more than moving them, or that are grouped by the key anyway."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

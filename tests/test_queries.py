@@ -59,3 +59,18 @@ def test_pairs_of_repeated_keys_come_once_and_are_not_kept(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalogue.ORACLE_SQL["matches_by_any_key"]).fetchall())
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Union" in plan and plan.index("Union") < plan.index("Aggregate")  # aggregates are of keys, below the joins
+
+
+def same_as_sql(spark, con, folder, name, *tables):
+    for t in tables:
+        con.execute(f"COPY {t} TO '{folder}/{t}.parquet'")
+    found, wanted = catalogue.QUERIES[name](spark, str(folder)), con.execute(catalogue.ORACLE_SQL[name])
+    names = [c[0] for c in wanted.description]
+    return sorted(map(str, map(tuple, found.select(*names).collect()))) == sorted(map(str, wanted.fetchall())), found
+
+
+def test_spans_without_a_user_have_no_tiles(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 41) MINUTE AS ts, CASE WHEN i % 9 <> 0 THEN i % 5 END AS user_id FROM range(400) r(i)")
+    same, found = same_as_sql(spark, con, tmp_path, "interval_tiling", "events")
+    assert same and found._jdf.queryExecution().executedPlan().toString().count("Join") == 0  # one window in place of the joins
